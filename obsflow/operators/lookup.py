@@ -10,7 +10,7 @@ from obsflow.plans.ordered import Ordered, best, last_known, next_known
 from obsflow.plans.ranges import cell_join
 
 
-def asof_lookup(left: DataFrame, right: DataFrame, keys, order, tie, values, direction="before") -> DataFrame:
+def asof_lookup(left: DataFrame, right: DataFrame, keys, order, tie, values, direction="before", *, chunked=None) -> DataFrame:
     """Nearest strictly earlier (or later) row of ``right`` for every row of ``left``.
 
     The two sides are put in one sequence per key, so the work is linear; ``order`` is
@@ -21,7 +21,7 @@ def asof_lookup(left: DataFrame, right: DataFrame, keys, order, tie, values, dir
     b = right.withColumns({"_side": F.lit(1 if near else 0), "_hit": F.struct(*values)})
     both = a.unionByName(b.select(*keys, order, *tie, "_side", "_hit"), allowMissingColumns=True)
     op = last_known("_hit", inclusive=False) if near else next_known("_hit", inclusive=False)
-    o = Ordered(both, keys, [order, "_side", *tie]).with_columns(_got=op)
+    o = Ordered(both, keys, [order, "_side", *tie], chunked=chunked).with_columns(_got=op)
     out = o.result.filter(F.col("_side") == (0 if near else 1))
     return out.select(*left.columns, *[F.col("_got")[v].alias(f"{direction}_{v}") for v in values])
 

@@ -92,6 +92,17 @@ def running_max(c, inclusive: bool = True) -> Op:
     )
 
 
+def running_min(c, inclusive: bool = True) -> Op:
+    c = _col(c)
+    end = 0 if inclusive else -1
+    return Op(
+        local=lambda w, k: F.min(c).over(w.rowsBetween(Window.unboundedPreceding, end)),
+        summary=lambda o: F.min(c),
+        carry=lambda s, w: F.min(s).over(_before(w)),
+        merge=lambda v, s: F.least(v, s),
+    )
+
+
 def last_known(c, inclusive: bool = True) -> Op:
     """Latest non-null value at or before the row."""
     c = _col(c)
@@ -227,6 +238,12 @@ class Ordered:
         out.keys, out.order, out.bound, out.chunked, out.df = self.keys, self.order, self.bound, self.chunked, df
         return out
 
+    @property
+    def fewer(self) -> bool | None:
+        """``chunked`` for a frame with no more rows per key than this one: known to be
+        small when this one is, otherwise to be checked again."""
+        return None if self.chunked else False
+
     @property
     def result(self) -> DataFrame:
         return self.df.drop(CHUNK) if self.chunked else self.df
@@ -298,6 +315,11 @@ class Ordered:
         return _chunk_fold(src.select(*self.keys, *cols, CHUNK), fold, nk, nc, schema, arrow)
 
 
+def fits(df: DataFrame, keys: list[str]) -> bool | None:
+    """``chunked`` to use for several steps over ``df``: one check instead of one per step."""
+    return False if _sizes(df, keys)[0] <= runtime.group_rows(df.sparkSession) else None
+
+
 def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     return (row[0] or 0, row[1] or 0)

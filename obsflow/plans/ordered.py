@@ -449,8 +449,8 @@ def _ignore(*_):
 def best(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """First row per key by a total order, as a map-side combined aggregate."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[_col(o) for o in order])).alias("_b"))
-    return picked.select(*keys, *[F.col("_b")[c].alias(c) for c in rest])
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[_col(o) for o in order])).alias("_picked"))
+    return picked.select(*keys, *[F.col("_picked")[c].alias(c) for c in rest])
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str, tie: list[str]) -> DataFrame:

@@ -30,4 +30,4 @@ def load() -> tuple[dict, dict[str, str]]:
     return QUERIES, ORACLES
 
 
-MODULES = ["sequence", "lookup", "reconcile", "layout", "numbered", "numeric"]
+MODULES = ["sequence", "lookup", "reconcile", "layout", "numbered", "numeric", "sources"]

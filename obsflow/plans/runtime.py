@@ -54,3 +54,18 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     for n in names:
         cond = cond & left[n].eqNullSafe(right[n])
     return cond
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder, for streams and written tables."""
+    import uuid
+
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            shared = tempfile.mkdtemp(prefix="obsflow-")
+        sc.setCheckpointDir(shared)
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"

@@ -49,7 +49,7 @@ def _(spark, sf):
  lower(l_returnflag) || ' ' || lower(l_linestatus) AS mk FROM lineitem),
 t AS (SELECT *, '{"string":' || s1 || ',"marks":"' || array_to_string(list_sort(string_split(mk, ' ')), ' ') || '"}' AS j1, '{"string":' || s2 || ',"marks":""}' AS j2 FROM n)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sha256('{"tempo":' || CAST(l_quantity AS INTEGER) || ',"events":[{"staff":1,"voice":1,"onset":' || CAST(l_tax AS DECIMAL(20,5))
- || ',"duration":' || CAST(l_discount AS DECIMAL(20,5)) || ',"grace":' || (l_discount = 0) || ',"notes":["' || replace(least(j1, j2), '"', '\\"') || '","' || replace(greatest(j1, j2), '"', '\\"') || '"]}],"meter":[4,4],"pickup":false}') AS digest FROM t""")
+ || ',"duration":' || CAST(l_discount AS DECIMAL(20,5)) || ',"grace":' || (l_discount = 0) || ',"notes":[' || CASE WHEN s2 <= s1 THEN j2 || ',' || j1 ELSE j1 || ',' || j2 END || ']}],"meter":[4,4],"pickup":false}') AS digest FROM t""")
 def _(spark, sf):
     l = table(spark, sf, "lineitem")
 

@@ -23,6 +23,15 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
+def unfold(arr: str | Column) -> Column:
+    """One row per element, and one null row for an empty array.
+
+    A plain explode makes Catalyst test the array's size first, which computes an expensive
+    array a second time; callers drop the null rows instead.
+    """
+    return F.explode_outer(arr)
+
+
 def clamp(c: Column, lo, hi) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 

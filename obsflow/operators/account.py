@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsflow.functions.exprs import unfold
 from obsflow.operators.lookup import rate_lookup
 from obsflow.plans.ordered import Ordered, row_number, running_max, running_sum
 
@@ -82,4 +83,4 @@ def warnings_summary(counters: DataFrame, keys, messages: list[tuple[str, str]])
     """One message per non-zero counter, in the given order; ``{n}`` is the count."""
     items = [F.when(F.col(c) > 0, F.struct(F.lit(i).alias("pos"), F.replace(F.lit(m), F.lit("{n}"), F.col(c).cast("string")).alias("message")))
              for i, (c, m) in enumerate(messages)]
-    return counters.select(*keys, F.explode(F.array_compact(F.array(*items))).alias("_m")).select(*keys, "_m.pos", "_m.message")
+    return counters.select(*keys, unfold(F.array_compact(F.array(*items))).alias("_m")).filter("_m is not null").select(*keys, "_m.pos", "_m.message")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsflow.functions.exprs import unfold
 from obsflow.plans.ordered import (
-    Fold, Ordered, exact_median, lag, last_known, lead, row_number, running_max, running_sum, total,
+    Fold, Ordered, lag, last_known, lead, next_known, row_number, running_max, running_sum, total,
 )
 
 # Note lengths in quarters, longest first, and their names.
@@ -57,12 +58,17 @@ def reflow_rows(items: DataFrame, keys, order, target: int, *, included: Column
 
 def row_width_fraction(rows: DataFrame, keys, row: str, width: str, bars: str, row_target: str, target: int) -> DataFrame:
     """Printed width of short rows relative to a complete row of the default target."""
-    full = exact_median(rows.filter((F.col(bars) == target) & (F.col(row_target) == target)), keys, width, "_median", [row])
-    most = rows.filter(F.col(bars) > 0).groupBy(*keys).agg(F.max(width).alias("_most"))
-    out = rows.join(full, keys, "left").join(most, keys, "left")
-    ref = F.coalesce("_median", "_most", F.lit(1.0))
+    # One pass: complete rows first, by width, so that their middle ranks give the median.
+    done = (F.col(bars) == target) & (F.col(row_target) == target)
+    o = Ordered(rows.withColumn("_done", F.when(done, 0).otherwise(1)), keys, ["_done", width, row])
+    o = o.with_columns(_rn=row_number(), _n=total(lambda c: F.count(c), F.when(F.col("_done") == 0, 1), merge=F.sum),
+                       _most=total(F.max, F.when(F.col(bars) > 0, F.col(width))))
+    mid = (F.col("_done") == 0) & ((F.col("_rn") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rn") == F.floor(F.col("_n") / 2) + 1))
+    o = o.columns(_mid=F.when(mid, F.col(width))).with_columns(_sum=total(F.sum, "_mid"), _cnt=total(lambda c: F.count(c), "_mid", merge=F.sum))
+    ref = F.coalesce(F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")), F.col("_most"), F.lit(1.0))
     short = (F.col(bars) > 0) & (F.col(bars) < F.col(row_target))
-    return out.withColumn("width_fraction", F.when(short, F.least(F.lit(1.0), F.col(width) / ref)).otherwise(1.0)).drop("_median", "_most")
+    out = o.columns(width_fraction=F.when(short, F.least(F.lit(1.0), F.col(width) / ref)).otherwise(1.0)).result
+    return out.select(*rows.columns, "width_fraction")
 
 
 class _Flush(Fold):
@@ -169,7 +175,6 @@ def merge_rest_runs(bars: DataFrame, explicit: DataFrame, keys, number: str, met
     good = g.filter("error is null").select(*keys, "first", "last")
     tagged = cand.withColumn("_k", F.lit(1)).unionByName(good.withColumn("_k", F.lit(0)))
     c = Ordered(tagged, keys, ["first", "_k", "last"], chunked=o.fewer).columns(_gl=F.when(F.col("_k") == 0, F.col("last")), _gf=F.when(F.col("_k") == 0, F.col("first")))
-    from obsflow.plans.ordered import next_known
     c = c.with_columns(_before=running_max("_gl"), _after=next_known("_gf"))
     clear = (F.coalesce("_before", F.lit(-1)) < F.col("first")) & (F.col("_after").isNull() | (F.col("_after") > F.col("last")))
     taken = c.where((F.col("_k") == 1) & clear).select("first", "last").fold(_Disjoint(), ["first", "last"])
@@ -277,10 +282,10 @@ def rhythm_class(duration: Column) -> Column:
     """Struct (type, dots, triplet) of a note length, null for an unsupported one."""
     plain = [(base * f, name, d, False, 0.0001) for d, f in DOTS for base, name in NOTE_LENGTHS]
     triplet = [(base * 2 / 3, name, 0, True, 0.001) for base, name in NOTE_LENGTHS]
-    table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(n).alias("type"), F.lit(d).alias("dots"), F.lit(t).alias("triplet"), F.lit(e).alias("e"))
-                      for v, n, d, t, e in plain + triplet])
-    hit = F.get(F.filter(table, lambda r: F.abs(duration - r["v"]) < r["e"]), F.lit(0))
-    return F.when(hit.isNotNull(), F.struct(hit["type"].alias("type"), hit["dots"].alias("dots"), hit["triplet"].alias("triplet")))
+    out = F
+    for v, n, d, t, e in plain + triplet:
+        out = out.when(F.abs(duration - v) < e, F.struct(F.lit(n).alias("type"), F.lit(d).alias("dots"), F.lit(t).alias("triplet")))
+    return out
 
 
 def beam_groups(events: DataFrame, keys, order, onset: str, duration: str, has_notes: Column, beat: Column) -> DataFrame:
@@ -309,7 +314,7 @@ def score_timeline(events: DataFrame, keys, pos: str, onset: str, duration: str,
     units = lambda c: F.rint(c * DIVISIONS).cast("bigint")
     gap = F.when(F.col(onset) > cursor + 0.001, F.struct(F.lit("forward").alias("kind"), units(F.col(onset) - cursor).alias("divisions")))
     body = F.struct(F.when(has_notes, "note").otherwise("rest").alias("kind"), units(F.col(duration)).alias("divisions"))
-    parts = o.result.select(*by, F.col(pos).cast("bigint").alias("pos"), F.explode(F.array_compact(F.array(gap, body))).alias("_e")).select(*by, "pos", "_e.*")
+    parts = o.result.select(*by, F.col(pos).cast("bigint").alias("pos"), unfold(F.array_compact(F.array(gap, body))).alias("_e")).select(*by, "pos", "_e.*")
     ends = o.result.filter("_last is null").select(*by, F.col("_end"))
     v = Ordered(ends, keys, [staff, voice], chunked=False if keys and not o.chunked else None).with_columns(_len=lag("_end"))
     back = v.result.filter("_len > 0").select(*by, F.lit(0).cast("bigint").alias("pos"), F.lit("backup").alias("kind"), units(F.col("_len")).alias("divisions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsflow.functions.exprs import unfold
 from obsflow.operators.lookup import asof_lookup
 from obsflow.plans.chains import resolve_chains
 from obsflow.plans.ordered import (
@@ -61,7 +62,7 @@ def canonical_signature(meter: Column, pickup: Column, events: Column, extra: di
         return F.struct(*[n[f].alias(f) for f in note_fields if f != "marks"], marks.alias("marks"))
 
     def event(e):
-        notes = F.array_sort(F.transform(F.transform(e["notes"], note), lambda n: F.to_json(n)))
+        notes = F.array_sort(F.transform(e["notes"], note))
         return F.struct(e["staff"].alias("staff"), e["voice"].alias("voice"), _five(e["onset"]).alias("onset"),
                         _five(e["duration"]).alias("duration"), (e["duration"] == 0).alias("grace"), notes.alias("notes"))
 
@@ -132,9 +133,12 @@ def bar_issues(bars: DataFrame, events: DataFrame, keys, instrument: str, string
         F.transform(F.flatten(F.transform("notes", note_issues)), lambda t, i: F.struct(
             F.lit(2).alias("stage"), F.col("pos").alias("pos"), (i + 2).alias("sub"), t.alias("issue"))),
         at(4, F.col("_first"), (gap, F.concat(F.lit("Gap or overlap"), label)), (short, F.concat(F.lit("Incomplete rhythm"), label)))).alias("_i"))
-    out = whole.unionByName(own).select(*keys, F.explode("_i").alias("_i")).select(*keys, "_i.*")
-    out = out.groupBy(*keys, "issue").agg(F.min(F.struct("stage", "pos", "sub")).alias("_o"))
-    return out.select(*keys, "issue", "_o.*")
+    out = whole.unionByName(own).select(*keys, unfold("_i").alias("_i")).filter("_i is not null").select(*keys, "_i.*")
+    # The place of a problem as one number keeps the aggregate in hashed primitive buffers.
+    place = F.shiftleft(F.col("stage").cast("bigint"), 56) + F.shiftleft("pos", 16) + F.col("sub")
+    out = out.groupBy(*keys, "issue").agg(F.min(place).alias("_o"))
+    return out.select(*keys, "issue", F.shiftright("_o", 56).cast("int").alias("stage"),
+                      F.shiftright("_o", 16).bitwiseAND(F.lit((1 << 40) - 1)).alias("pos"), F.col("_o").bitwiseAND(F.lit(65535)).cast("int").alias("sub"))
 
 
 def needs_review(issues: DataFrame, keys, ignore: list[str] = ENGRAVING_LIMITS) -> DataFrame:
@@ -194,7 +198,8 @@ def tie_and_sum_check(events: DataFrame, keys, bar: str, pos: list[str], duratio
 def tokenize_events(df: DataFrame, text: str) -> DataFrame:
     """Tokens ``string+fret:duration[:marks]``; ``R`` is a rest."""
     rest = [c for c in df.columns if c != text]
-    tok = df.select(*rest, F.posexplode(F.filter(F.split(text, r"\s+"), lambda x: x != "")).alias("pos", "_t"))
+    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    tok = df.select(*rest, F.posexplode_outer(words).alias("pos", "_t")).filter("_t is not null")
     tok = tok.withColumn("_p", F.split("_t", ":"))
     pitch = F.col("_p")[0]
     number = F.get("_p", F.lit(1))

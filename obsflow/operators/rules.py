@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsflow.functions.exprs import finite
+from obsflow.functions.exprs import finite, unfold
 
 # Fixed values.
 VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be", "www.youtu.be"]
@@ -82,7 +82,7 @@ def range_rules(df: DataFrame, keys, fields: list[str], rules=LIMITS) -> DataFra
         if whole:
             rule = rule.when(v != F.floor(v), "not whole")
         checks.append(F.when(rule.isNotNull(), F.struct(F.lit(field).alias("field"), v.alias("value"), rule.alias("rule"))))
-    return df.select(*keys, F.explode(F.array_compact(F.array(*checks))).alias("_r")).select(*keys, "_r.*")
+    return df.select(*keys, unfold(F.array_compact(F.array(*checks))).alias("_r")).filter("_r is not null").select(*keys, "_r.*")
 
 
 def schema_check(df: DataFrame, keys, json: str, schema: dict, path: str = "response") -> DataFrame:

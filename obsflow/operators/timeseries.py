@@ -70,7 +70,7 @@ def autocorrelation(df: DataFrame, keys, i: str, x: str, max_lag: int) -> DataFr
     """
     o = Ordered(df, keys, [i]).with_columns(_a=after(x, max_lag), _n=total(F.count, F.lit(1), merge=F.sum))
     pairs = F.concat(F.array(F.struct(F.col(x).alias("v"))), F.col("_a"))
-    d = o.result.select(*keys, "_n", F.col(x).alias("_x"), F.posexplode(pairs).alias("lag", "_s"))
+    d = o.result.select(*keys, "_n", F.col(x).alias("_x"), F.posexplode_outer(pairs).alias("lag", "_s"))
     g = d.groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_s.v")).alias("_p"), F.max("_n").alias("_n"))
     energy = g.filter("lag = 0").select(*keys, F.col("_p").alias("_e"))
     g = g.join(energy, keys)

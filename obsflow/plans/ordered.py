@@ -4,7 +4,8 @@
 what came before, how many so far, what was the last known value, what state has
 a sequential rule reached -- in one of two physical forms:
 
-* every key small (checked with one map-side combined count): ordinary windows
+* every key small (known from the input's size, or checked with one map-side combined
+  count): ordinary windows
   partitioned by the keys, and folds over hash-partitioned sorted partitions;
 * some key above ``spark.obsflow.group.rows``: the rows are range partitioned on
   (keys, order), so a large key is spread over many chunks.  Window values are
@@ -229,7 +230,7 @@ class Ordered:
             largest, rows = _sizes(df, self.keys)
             chunked = largest > self.bound
             if chunked:
-                parts = max(2, -(-rows // self.bound))
+                parts = max(2, -(-rows // runtime.chunk_rows(spark)))
                 df = _chunks(df, self.keys, self.order, parts)
         self.df, self.chunked = df, chunked
 
@@ -321,6 +322,14 @@ def fits(df: DataFrame, keys: list[str]) -> bool | None:
 
 
 def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest key and of the whole frame, or an upper bound of both.
+
+    Input files that together have no more rows than one key may have need no job: only
+    their footers are read.  The answer steers the physical form, never the result.
+    """
+    total_rows = runtime.file_rows(df)
+    if total_rows is not None and total_rows <= runtime.group_rows(df.sparkSession):
+        return total_rows, total_rows
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     return (row[0] or 0, row[1] or 0)
 

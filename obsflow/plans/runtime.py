@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # A key with more rows than this is processed in several chunks.
 GROUP_ROWS = "spark.obsflow.group.rows"
 GROUP_ROWS_DEFAULT = 4_000_000
+# Rows per chunk of a large key; the same number unless set.
+CHUNK_ROWS = "spark.obsflow.chunk.rows"
 # A side with at most this many rows may be broadcast.
 BROADCAST_ROWS = "spark.obsflow.broadcast.rows"
 BROADCAST_ROWS_DEFAULT = 200_000
@@ -23,6 +25,23 @@ def group_rows(spark: SparkSession) -> int:
     return setting(spark, GROUP_ROWS, GROUP_ROWS_DEFAULT)
 
 
+def chunk_rows(spark: SparkSession) -> int:
+    return setting(spark, CHUNK_ROWS, group_rows(spark))
+
+
+_ROWS: dict[tuple[str, ...], int] = {}
+
+
+def file_rows(df: DataFrame) -> int | None:
+    """Rows of the parquet files a frame reads, from their footers; None for other sources."""
+    files = tuple(sorted(df.inputFiles()))
+    if not files or len(files) > 2000 or not all(f.endswith(".parquet") for f in files):
+        return None
+    if files not in _ROWS:
+        _ROWS[files] = df.sparkSession.read.parquet(*files).count()
+    return _ROWS[files]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's reliable checkpoint folder."""
     sc = df.sparkSession.sparkContext

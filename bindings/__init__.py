@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import importlib
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions passed to folds travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

@@ -330,7 +330,7 @@ def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     total_rows = runtime.file_rows(df)
     if total_rows is not None and total_rows <= runtime.group_rows(df.sparkSession):
         return total_rows, total_rows
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size"), F.sum("_size")).first()
     return (row[0] or 0, row[1] or 0)
 
 

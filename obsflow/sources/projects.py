@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from obsflow.plans.ordered import Ordered, row_number
 
 # Document fields, limits and texts.
-LINE = T.StructType.fromDDL(
-    "path string, time double, view int, included boolean, source_path string, crop array<double>, original_path string, "
-    "original_crop array<double>, height_scale double, visible_until double, raw_source_path string, bar_bounds array<int>, "
-    "bar_numbers array<int>, bar_staff array<double>, ai_bar_ids array<int>, notes array<string>")
-PROJECT = T.StructType.fromDDL(
-    "version int, title string, source string, region struct<left:double,top:double,right:double,bottom:double>, "
-    f"lines array<{LINE.simpleString()}>, warnings array<string>, notation string, bars_per_line int, bar_overrides map<string,int>, background string")
+LINE = ("path:string,time:double,view:int,included:boolean,source_path:string,crop:array<double>,original_path:string,"
+        "original_crop:array<double>,height_scale:double,visible_until:double,raw_source_path:string,bar_bounds:array<int>,"
+        "bar_numbers:array<int>,bar_staff:array<double>,ai_bar_ids:array<int>,notes:array<string>")
+PROJECT = ("version int, title string, source string, region struct<left:double,top:double,right:double,bottom:double>, "
+           f"lines array<struct<{LINE}>>, warnings array<string>, notation string, bars_per_line int, bar_overrides map<string,int>, background string")
 OLD_WARNINGS = ["Free mode keeps original colors", "Chord mode keeps original colors"]
 NEW_WARNING = ("Review chord and lyric rows before printing. Use Background cleanup to choose White, Black, or Original. "
                "Moving or unoutlined text may need Manual mode.")
@@ -93,7 +90,7 @@ def bundle_check(manifest: DataFrame, references: DataFrame, keys: list[str], en
     return big.unionByName(odd).unionByName(lost.select(*keys, F.lit("missing image").alias("rule"), "entry"))
 
 
-CHECKPOINT = T.StructType.fromDDL("bars array<string>")
+CHECKPOINT = "bars array<string>"
 
 
 def snapshots_of(files: DataFrame) -> DataFrame:

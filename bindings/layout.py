@@ -126,7 +126,14 @@ def _wrap_rows(spark, sf):
     return d.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("at", "word"))
 
 
-@query("greedy_wrap")
+@query("greedy_wrap", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, i AS line, string_split(ls[i + 1], ' ') AS ws FROM d, LATERAL (SELECT unnest(range(0, len(ls))) AS i)),
+r AS (SELECT doc_id, line, ws, list_reduce(list_transform(ws, lambda w: {'n': length(w), 'rw': 0, 'used': -1, 'rs': []::BIGINT[]}),
+ lambda a, x: CASE WHEN x.n > 18 THEN {'n': 0, 'rw': a.rw + (x.n + 17) // 18, 'used': -1, 'rs': list_append(a.rs, a.rw + (x.n + 17) // 18)}
+  WHEN a.used < 0 OR a.used + x.n * 6 + 10 > 120 THEN {'n': 0, 'rw': a.rw + 1, 'used': x.n * 6 + 10, 'rs': list_append(a.rs, a.rw + 1)}
+  ELSE {'n': 0, 'rw': a.rw, 'used': a.used + x.n * 6 + 10, 'rs': list_append(a.rs, a.rw)} END, {'n': 0::BIGINT, 'rw': 0::BIGINT, 'used': -1::BIGINT, 'rs': []::BIGINT[]}).rs AS rs FROM l),
+t AS (SELECT doc_id, line, j, ws[j + 1] AS w, rs[j + 1] AS rw FROM r, LATERAL (SELECT unnest(range(0, len(ws))) AS j))
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(j AS INTEGER) AS "at", rw AS "row", CAST(row_number() OVER (PARTITION BY doc_id, line, rw ORDER BY j) AS INTEGER) AS pos, w AS piece FROM t WHERE length(w) <= 18
+UNION ALL SELECT doc_id, CAST(line AS INTEGER), CAST(j AS INTEGER), rw - (length(w) + 17) // 18 + 1 + p, 1, substr(w, p * 18 + 1, 18) FROM t, LATERAL (SELECT unnest(range(0, (length(w) + 17) // 18)) AS p) WHERE length(w) > 18""")
 def _(spark, sf):
     return y.greedy_wrap(_wrap_rows(spark, sf), ["doc_id", "line"], "at", "word", 6.0, 120.0)
 

@@ -392,3 +392,10 @@ def apply_marks(bars: DataFrame, edits: DataFrame, keys, tempo: str, label: str,
 def content_identity(cols: list[str], length: int = 24) -> Column:
     """Short digest of a tuple of columns."""
     return F.substring(F.sha2(F.to_json(F.struct(*cols)), 256), 1, length)
+
+
+def expand_shorthand(string: Column, frets: Column, first: Column, last: Column, duration: str = ".5") -> Column:
+    """Token text of equal notes on one string, with marks on the first and last."""
+    n = F.size(frets)
+    token = lambda f, i: F.concat(string, f, F.lit(f":{duration}:"), F.when(i == 0, first).when(i == n - 1, last).otherwise(""))
+    return F.array_join(F.transform(frets, token), " ")

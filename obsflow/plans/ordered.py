@@ -298,22 +298,24 @@ class Ordered:
 
     def fold(self, fold: Fold, cols: list[str]) -> DataFrame:
         """Run a sequential rule; the result has the keys and the fold's columns."""
-        src = self.df.select(*self.keys, *[F.col(c) for c in cols], *[
-            F.col(o).alias(f"_o{i}") for i, o in enumerate(self.order)
-        ], *([CHUNK] if self.chunked else []))
+        cols = list(cols)
+        if not self.chunked and self.keys:
+            # The window asks for the keys together and in order, so a fold after other
+            # windows of this object needs neither another shuffle nor another sort.
+            w = Window.partitionBy(*self.keys).orderBy(*self.order)
+            src = self.df.withColumn("_seq", F.row_number().over(w)).select(*self.keys, *cols, "_seq")
+        else:
+            tail = [CHUNK] if self.chunked else []
+            src = self.df.select(*self.keys, *cols, *tail, *[o for o in self.order if not self.chunked and o not in cols])
         key_fields = [src.schema[k] for k in self.keys]
         schema = T.StructType(key_fields + T.StructType.fromDDL(fold.schema).fields)
         arrow = to_arrow_schema(schema)
         nk, nc = len(self.keys), len(cols)
-        orders = [f"_o{i}" for i in range(len(self.order))]
-        if not self.chunked:
-            if self.keys:
-                src = src.repartition(*self.keys)
-            else:
-                src = src.repartition(1)
-            src = src.sortWithinPartitions(*self.keys, *orders)
-            return src.select(*src.columns[: nk + nc]).mapInArrow(_runner(fold, nk, nc, arrow), schema)
-        return _chunk_fold(src.select(*self.keys, *cols, CHUNK), fold, nk, nc, schema, arrow)
+        if self.chunked:
+            return _chunk_fold(src, fold, nk, nc, schema, arrow)
+        if not self.keys:
+            src = src.repartition(1).sortWithinPartitions(*self.order)
+        return src.mapInArrow(_runner(fold, nk, nc, arrow), schema)
 
 
 def fits(df: DataFrame, keys: list[str]) -> bool | None:

@@ -62,7 +62,7 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     shuffle join (which adaptive execution splits where a key is skewed).
     """
     bound = rows or setting(df.sparkSession, BROADCAST_ROWS, BROADCAST_ROWS_DEFAULT)
-    if df.limit(bound + 1).count() <= bound:
+    if df.count() <= bound:
         return F.broadcast(df)
     return df
 

@@ -150,3 +150,12 @@ def test_panels_join_at_the_last_common_boundary(sized):
                               "s string, p int, cells array<string>, b array<int>")
     out = rows(q.join_overlapping_panels(d, KEY, ["p"], "cells", "b"), "p", "shift", "cut_left", "cut_right", "joined")
     assert out == [(0, None, None, None, False), (1, 5, 9, 4, True), (2, None, None, None, False)]
+
+
+def test_windows_as_a_table_function(spark):
+    from obsflow.functions import tables
+    tables.register(spark)
+    d = spark.range(30).select(F.lit("a").alias("s"), F.col("id").alias("i"))
+    want = rows(q.count_windows(d, KEY, ["i"], 8, 1).select("i", "batch", "pos"))
+    d.createOrReplaceTempView("items")
+    assert rows(spark.sql("SELECT i, w.batch, w.pos FROM items, LATERAL explode_windows(i, 30, 8, 1) w")) == want

@@ -91,7 +91,7 @@ def stream(spark, sf):
     """The events table as a file stream."""
     schema = table(spark, sf, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
-    return e.select("user_id", "event_id", "event_type", "value", seconds("ts").alias("t"), F.col("ts").cast("timestamp").alias("at"), micros("ts").alias("us"))
+    return e.select("user_id", "event_id", "event_type", "value", seconds("ts").alias("t"), F.timestamp_micros(micros("ts")).alias("at"), micros("ts").alias("us"))
 
 
 def drain(spark, df):

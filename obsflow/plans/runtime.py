@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,19 +43,30 @@ def file_rows(df: DataFrame) -> int | None:
     return _ROWS[files]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's reliable checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; a temporary one only in local mode."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="obsflow-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's reliable checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, for streams and written tables."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast only when a count shows it is within the bound.
 
@@ -73,18 +85,3 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     for n in names:
         cond = cond & left[n].eqNullSafe(right[n])
     return cond
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, for streams and written tables."""
-    import uuid
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="obsflow-")
-        sc.setCheckpointDir(shared)
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, table
+from bindings import query, spread, table
 from bindings.lookup import RATE_SQL, rates
 from bindings.streams import EVN, LI, LINE_ORDER, ev
 from obsflow.operators import account as a
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 def _wrap_rows(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return d.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("at", "word"))
 
 
@@ -157,7 +157,7 @@ CLASSES = """cl AS (SELECT b * f AS v, name, d AS dots, false AS tri, 0.0001 AS
 k AS (SELECT dur, name, dots, tri FROM u, cl WHERE abs(dur - v) < tol QUALIFY row_number() OVER (PARTITION BY dur ORDER BY pr) = 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, name AS type, dots, tri AS triplet FROM d LEFT JOIN k USING (dur)""")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER, y.rhythm_class(F.col("l_quantity") / 16).alias("r"))
+    l = spread(table(spark, sf, "lineitem")).select("l_orderkey", *LINE_ORDER, y.rhythm_class(F.col("l_quantity") / 16).alias("r"))
     return l.select("l_orderkey", *LINE_ORDER, "r.type", "r.dots", "r.triplet")
 
 

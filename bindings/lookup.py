@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, table
+from bindings import query, spread, table
 from bindings.streams import EV, EVN, ev
 from bindings.sequence import RAST, rasters
 from obsflow.operators import bands as b
@@ -199,7 +199,7 @@ def _(spark, sf):
     s = F.lit(50.0) + F.col("p_size") % 5 * 10
     bands = p.select("p_brand", F.col("p_size").alias("band"), (F.col("p_size") * 1000.0).alias("f"),
                      (F.col("p_size") * 1000.0 + s * 4).alias("z"), s.alias("s")).distinct()
-    boxes = table(spark, sf, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    boxes = spread(table(spark, sf, "lineitem")).join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     boxes = boxes.select("p_brand", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") / 2).alias("y0"),
                          (F.col("l_extendedprice") / 2 + F.col("l_quantity") * 10).alias("y1"))
     out = b.nearest_band_assign(boxes, bands, ["p_brand"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "y0", "y1", "band", "f", "z", "s", 1000.0)
@@ -257,3 +257,24 @@ SELECT user_id, event_type, n, pos FROM c QUALIFY row_number() OVER (PARTITION B
 def _(spark, sf):
     c = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("pos"))
     return b.choose_region(c, KEY, "n", "pos")
+
+
+@query("range_assign", "WITH " + EV + """ SELECT l.user_id, l.event_id, r.event_id AS near, abs(l.t - r.t) AS cost FROM ev l JOIN ev r ON l.user_id = r.user_id AND r.event_type = 'purchase' AND abs(l.t - r.t) <= 36000
+ WHERE l.event_type <> 'purchase' QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - r.t), r.event_id) = 1""")
+def _(spark, sf):
+    e = ev(spark, sf)
+    l = e.filter("event_type <> 'purchase'").select("user_id", "event_id", F.col("t").alias("a"))
+    r = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("near"), F.col("t").alias("b"))
+    reach = (F.col("a"), F.col("a"), F.col("b") - 36000, F.col("b") + 36000)
+    return j.range_assign(l, r, KEY, ["event_id"], reach, 72000.0, F.abs(F.col("a") - F.col("b")), ["near"], 36000.0)
+
+
+@query("explode_windows", """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, doc_id, b AS batch, i - b * 4 AS pos FROM d, LATERAL (SELECT unnest(range(0, n)) AS b) WHERE i >= b * 4 AND i < b * 4 + 6 AND (b = 0 OR (b - 1) * 4 + 6 < n)""")
+def _(spark, sf):
+    from obsflow.functions import tables
+    from obsflow.plans.ordered import Ordered, count_all, row_number
+    tables.register(spark)
+    o = Ordered(table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"]).with_columns(i=row_number(), n=count_all())
+    o.result.createOrReplaceTempView("numbered_documents")
+    return spark.sql("SELECT source, doc_id, w.batch, w.pos FROM numbered_documents, LATERAL explode_windows(i - 1, n, 6, 2) w")

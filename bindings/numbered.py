@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, table
+from bindings import query, spread, table
 from bindings.reconcile import bars
 from bindings.streams import EV, EVN, LI, LINE_ORDER, ev
 from obsflow.operators import numbered as n
@@ -173,14 +173,14 @@ def _(spark, sf):
 d AS (SELECT doc_id, CASE WHEN b = '' THEN 'Sheet music' ELSE b END AS b FROM t)
 SELECT doc_id, CASE WHEN upper(string_split(b, '.')[1]) IN ('CON', 'PRN', 'AUX', 'NUL', 'COM1', 'LPT1') THEN '_' || b ELSE b END AS name FROM d""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", p.safe_name(F.col("text")).alias("name"))
+    return spread(table(spark, sf, "documents")).select("doc_id", p.safe_name(F.col("text")).alias("name"))
 
 
 @query("range_rules", """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['bpm', 'beats', 'bar_override', 'height_scale']) AS field, unnest([l_quantity * 8, l_quantity / 2, l_quantity / 2, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount * 30 END]) AS value, unnest([30, 1, 0, 0.25]) AS lo, unnest([300, 16, 16, 2]) AS hi FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, field, value, CASE WHEN value IS NULL THEN 'not finite' WHEN value NOT BETWEEN lo AND hi THEN 'out of range' ELSE 'not whole' END AS rule FROM v
 WHERE value IS NULL OR value NOT BETWEEN lo AND hi OR (field = 'bar_override' AND value <> floor(value))""")
 def _(spark, sf):
-    d = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER, (F.col("l_quantity") * 8).alias("bpm"), (F.col("l_quantity") / 2).alias("beats"),
+    d = spread(table(spark, sf, "lineitem")).select("l_orderkey", *LINE_ORDER, (F.col("l_quantity") * 8).alias("bpm"), (F.col("l_quantity") / 2).alias("beats"),
                                             (F.col("l_quantity") / 2).alias("bar_override"), F.when(F.col("l_tax") != 0, F.col("l_discount") * 30).alias("height_scale"))
     return p.range_rules(d, ["l_orderkey", *LINE_ORDER], ["bpm", "beats", "bar_override", "height_scale"])
 
@@ -210,7 +210,7 @@ def _(spark, sf):
 def _(spark, sf):
     note = F.array(F.struct((F.col("l_partkey") % 6).cast("int").alias("string"), (F.col("l_suppkey") % 24).cast("string").alias("fret"), F.lit("x").alias("step"),
                             F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("marks")))
-    d = table(spark, sf, "lineitem").withColumn("notes", p.compact(note, "bass"))
+    d = spread(table(spark, sf, "lineitem")).withColumn("notes", p.compact(note, "bass"))
     return d.select("l_orderkey", *LINE_ORDER, F.to_json(p.fill_defaults(F.col("notes"), p.NOTE_FIELDS["bass"])).alias("notes"))
 
 
@@ -229,7 +229,7 @@ def _(spark, sf):
 @query("mark_set_check", r"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and', 'la', 'le', 'de')))) AS ws FROM documents)
 SELECT doc_id, md5(array_to_string(ws, ', ')) AS unsupported FROM w""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(p.mark_set_check(F.col("text"), ["the", "of", "and", "la", "le", "de"])).alias("unsupported"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(p.mark_set_check(F.col("text"), ["the", "of", "and", "la", "le", "de"])).alias("unsupported"))
 
 
 @query("mode_routing", """SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'ai' WHEN coalesce(h, false) THEN 'manual' ELSE 'automatic' END AS mode FROM orders LEFT JOIN (SELECT l_orderkey, bool_and(CAST(l_quantity AS INTEGER) % 2 = 0) AS h FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, table
+from bindings import query, spread, table
 from bindings.streams import EVN, LI, ev
 from obsflow.operators import reconcile as r
 from obsflow.operators import sequence as q
@@ -51,7 +51,7 @@ t AS (SELECT *, '{"string":' || s1 || ',"marks":"' || array_to_string(list_sort(
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sha256('{"tempo":' || CAST(l_quantity AS INTEGER) || ',"events":[{"staff":1,"voice":1,"onset":' || CAST(l_tax AS DECIMAL(20,5))
  || ',"duration":' || CAST(l_discount AS DECIMAL(20,5)) || ',"grace":' || (l_discount = 0) || ',"notes":[' || CASE WHEN s2 <= s1 THEN j2 || ',' || j1 ELSE j1 || ',' || j2 END || ']}],"meter":[4,4],"pickup":false}') AS digest FROM t""")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem")
+    l = spread(table(spark, sf, "lineitem"))
 
     def note(s, m):
         return F.struct(s.cast("int").alias("string"), m.alias("marks"))
@@ -139,7 +139,7 @@ t AS (SELECT doc_id, i - 1 AS pos, string_split(ws[i], ':') AS p FROM w, LATERAL
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN p[1] <> 'R' THEN substr(p[1], 1, 1) END AS string, CASE WHEN p[1] <> 'R' THEN substr(p[1], 2) END AS fret,
  CASE WHEN regexp_matches(p[2], '^[0-9]*\.?[0-9]+$') THEN CAST(p[2] AS DOUBLE) END AS duration, coalesce(p[3], '') AS marks FROM t""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[ \n]+", ":1.5 ").alias("text"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.regexp_replace("text", r"[ \n]+", ":1.5 ").alias("text"))
     return r.tokenize_events(d, "text")
 
 

@@ -157,3 +157,12 @@ def _(spark, sf):
     day = F.floor(F.col("us") / 86400000000)
     out = st.bar_votes_stream(stream(spark, sf), ["user_id"], "event_type", "at", "1 hour", F.struct(day.alias("d"), b.alias("b")), "1 day", b < 150, b < 20)
     return drain(spark, out.select("user_id", "event_type", _us("start").alias("start"), "clear", "support"))
+
+
+@query("progress_stream", "WITH " + MARK + """, x AS (SELECT user_id, epoch_us(ts) // 86400000000 * 86400000000 AS start, event_type AS phase, CAST(floor(value) AS BIGINT) AS completed, 500 AS total FROM events
+ QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, start, phase, completed, total FROM x, wm WHERE start + 86400000000 <= w""")
+def _(spark, sf):
+    e = stream(spark, sf).select("user_id", "event_id", "at", F.col("event_type").alias("ph"), F.floor("value").alias("c"), F.lit(500).alias("n"))
+    out = st.progress_stream(e, ["user_id"], "at", ["event_id"], "ph", "c", "n", every="1 day", watermark="1 hour")
+    return drain(spark, out.withColumn("start", _us("start")))

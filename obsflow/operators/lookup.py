@@ -51,13 +51,13 @@ def rate_lookup(df: DataFrame, rates: DataFrame, model: str) -> DataFrame:
 
 def range_assign(left: DataFrame, right: DataFrame, keys, row: list[str], reach: tuple[Column, Column, Column, Column],
                  cell: float, cost: Column, order: list[str], limit: float) -> DataFrame:
-    """Cheapest match of every left row among right rows within reach, at most ``limit``.
+    """Cheapest match (``order`` columns and cost) of every left row among right rows within reach.
 
     ``reach`` gives the closed intervals (left from, left to, right from, right to) that
     must meet; the best match is kept by a map-side combined minimum.
     """
     pairs = cell_join(left, right, keys, *reach, cell).withColumn("cost", cost).filter(F.col("cost") <= limit)
-    return best(pairs, [*keys, *row], ["cost", *order])
+    return best(pairs.select(*keys, *row, *order, "cost"), [*keys, *row], ["cost", *order])
 
 
 def override_lookup(df: DataFrame, overrides: DataFrame, identity: list[str], length: int = 24) -> DataFrame:

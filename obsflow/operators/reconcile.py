@@ -58,7 +58,9 @@ def canonical_signature(meter: Column, pickup: Column, events: Column, extra: di
     """Digest of the music of a bar: event prose and the order of notes and marks do not matter."""
 
     def note(n):
-        marks = F.array_join(F.array_sort(F.filter(F.split(n["marks"], r"\s+"), lambda m: m != "")), " ")
+        # Most notes have at most one mark, which needs no splitting.
+        several = F.array_join(F.array_sort(F.filter(F.split(n["marks"], r"\s+"), lambda m: m != "")), " ")
+        marks = F.when(n["marks"].rlike(r"\s"), several).otherwise(n["marks"])
         return F.struct(*[n[f].alias(f) for f in note_fields if f != "marks"], marks.alias("marks"))
 
     def event(e):
@@ -111,7 +113,8 @@ def bar_issues(bars: DataFrame, events: DataFrame, keys, instrument: str, string
 
     def note_issues(n):
         left = F.array_sort(F.array_except(F.filter(F.split(n["marks"], r"\s+"), lambda m: m != ""), allowed))
-        odd = F.when(F.size(left) > 0, F.concat(F.lit(UNSUPPORTED), F.array_join(left, ", ")))
+        odd = F.when((n["marks"] == "") | n["marks"].isin(TAB_MARKS if tab else OTHER_MARKS), F.lit(None)).otherwise(
+            F.when(F.size(left) > 0, F.concat(F.lit(UNSUPPORTED), F.array_join(left, ", "))))
         if tab:
             fret = n["fret"].rlike("^[0-9]+$") & F.coalesce(n["fret"].try_cast("int") <= 36, F.lit(False))
             bad = F.when(~n["string"].between(1, strings) | ~(fret | (F.upper(n["fret"]) == "X")), INVALID_TAB)

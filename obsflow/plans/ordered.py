@@ -18,6 +18,7 @@ Both forms give the same rows.  ``order`` must be a total order within a key.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -351,12 +352,12 @@ def _runner(fold: Fold, nk: int, nc: int, arrow: pa.Schema):
             out.append(key + values)
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:nk] != key or acc is None:
+            for this, row in _rows(batch, nk, nc):
+                if this != key or acc is None:
                     if acc is not None:
                         fold.finish(core, acc, emit)
-                    key, core, acc = row[:nk], fold.start(), [0] * fold.counters
-                core = fold.step(core, acc, row[nk : nk + nc], emit)
+                    key, core, acc = this, fold.start(), [0] * fold.counters
+                core = fold.step(core, acc, row, emit)
             if len(out) >= 4096:
                 yield _batch(out, arrow)
                 out.clear()
@@ -368,6 +369,13 @@ def _runner(fold: Fold, nk: int, nc: int, arrow: pa.Schema):
     return run
 
 
+def _rows(batch: pa.RecordBatch, nk: int, nc: int):
+    """(key, values) of every row of a batch."""
+    cols = [c.to_pylist() for c in batch.columns[: nk + nc]]
+    keys = zip(*cols[:nk]) if nk else itertools.repeat((), batch.num_rows)
+    return zip(keys, zip(*cols[nk:]))
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
@@ -380,14 +388,14 @@ def _chunk_fold(src: DataFrame, fold: Fold, nk: int, nc: int, schema, arrow) ->
         def run(batches):
             chunk = first = key = core = acc = None
             for batch in batches:
-                for row in zip(*[c.to_pylist() for c in batch.columns]):
+                for this, row in _rows(batch, nk, nc):
                     if chunk is None:
-                        chunk, first, key = row[-1], row[:nk], row[:nk]
+                        chunk, first, key = batch.column(nk + nc)[0].as_py(), this, this
                         core = incoming[chunk][0] if chunk in incoming else fold.start()
                         acc = [0] * fold.counters
-                    elif row[:nk] != key:
-                        key, core, acc = row[:nk], fold.start(), [0] * fold.counters
-                    core = fold.step(core, acc, row[nk : nk + nc], _ignore)
+                    elif this != key:
+                        key, core, acc = this, fold.start(), [0] * fold.counters
+                    core = fold.step(core, acc, row, _ignore)
             if chunk is not None:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int32()), pa.array([pickle.dumps((first, key, core, acc))], pa.binary())],
@@ -433,15 +441,15 @@ def _chunk_fold(src: DataFrame, fold: Fold, nk: int, nc: int, schema, arrow) ->
             out.append(key + values)
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            for this, row in _rows(batch, nk, nc):
                 if chunk is None:
-                    chunk, key = row[-1], row[:nk]
+                    chunk, key = batch.column(nk + nc)[0].as_py(), this
                     core = incoming[chunk][0] if chunk in incoming else fold.start()
                     acc = list(totals.get(chunk, [0] * fold.counters))
-                elif row[:nk] != key:
+                elif this != key:
                     fold.finish(core, acc, emit)
-                    key, core, acc = row[:nk], fold.start(), [0] * fold.counters
-                core = fold.step(core, acc, row[nk : nk + nc], emit)
+                    key, core, acc = this, fold.start(), [0] * fold.counters
+                core = fold.step(core, acc, row, emit)
             if len(out) >= 4096:
                 yield _batch(out, arrow)
                 out.clear()

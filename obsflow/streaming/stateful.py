@@ -119,8 +119,13 @@ def usage_rollup_stream(df: DataFrame, keys, event_time: str, every: str, waterm
     return out.select(*keys, F.col("w.start").alias("start"), "requests", *sums)
 
 
-def progress_stream(df: DataFrame, keys, event_time: str, tie: list[str], phase: str, completed: str, total: str) -> DataFrame:
-    """Latest report per job (update mode)."""
+def progress_stream(df: DataFrame, keys, event_time: str, tie: list[str], phase: str, completed: str, total: str, *,
+                    every: str | None = None, watermark: str | None = None) -> DataFrame:
+    """Latest report per job, as updates; with ``every`` the last report of each window, once it is complete."""
+    if every is not None:
+        out = df.withWatermark(event_time, watermark).groupBy(*keys, F.window(event_time, every).alias("w")).agg(
+            F.max_by(F.struct(phase, completed, total), F.struct(event_time, *tie)).alias("l"))
+        return out.select(*keys, F.col("w.start").alias("start"), F.col("l")[phase].alias("phase"), F.col("l")[completed].alias("completed"), F.col("l")[total].alias("total"))
     out = df.groupBy(*keys).agg(F.max_by(F.struct(phase, completed, total), F.struct(event_time, *tie)).alias("l"), F.max(event_time).alias("updated"))
     return out.select(*keys, F.col("l")[phase].alias("phase"), F.col("l")[completed].alias("completed"), F.col("l")[total].alias("total"), "updated")
 

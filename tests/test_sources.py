@@ -62,6 +62,9 @@ def test_snapshots_of_half_written_jobs(spark):
                     f.write(text)
         out = s.usage_snapshots(spark, f"{folder}/*")
         assert rows(out, "job", "saved_bars", "finished", "cancelled") == [("one", 2, True, False), ("two", 0, False, False)]
+        with tempfile.TemporaryDirectory(prefix="run-") as other:
+            seen = run(spark, s.usage_snapshots(spark, f"{folder}/*", streaming=True), other, "snapshots")
+            assert rows(seen.filter("name = 'checkpoint.json'"), "job", "saved_bars") == [("one", 2), ("two", None)]
 
 
 def test_captures_continue_the_numbering(sized):

@@ -4,11 +4,10 @@ from pyspark.sql import functions as F
 
 from bindings import query, spread, table
 from bindings.reconcile import bars
-from bindings.streams import EV, EVN, LI, LINE_ORDER, ev
+from bindings.streams import EV, LINE_ORDER, ev
 from obsflow.operators import numbered as n
 from obsflow.operators import reconcile as r
 from obsflow.operators import rules as p
-from obsflow.plans.ordered import Ordered, lag, row_number
 
 ORDER = ["l_orderkey"]
 TIE = ["l_partkey", "l_suppkey"]

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from bindings import query, table
-from bindings.lookup import MONTH, month
+from bindings.lookup import month
 from bindings.sequence import RAST, rasters
 from bindings.streams import EV, EVN, ev
 from obsflow.functions.exprs import joined
 from obsflow.operators import bands as b
 from obsflow.operators import diff as d
 from obsflow.operators import timeseries as t
-from obsflow.plans.ordered import Ordered, lag, lead, row_number
+from obsflow.plans.ordered import Ordered, lag, lead
 from obsflow.plans.ranges import explode_range
 
 KEY, ORD = ["user_id"], ["t", "event_id"]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bindings import query, table
-from bindings.streams import EV, EVN, ev, pages_of, pages_sql
+from bindings.streams import EVN, ev, pages_of, pages_sql
 from obsflow.functions.exprs import joined
 from obsflow.operators import sequence as q
 from obsflow.plans.ordered import Ordered, lag, row_number

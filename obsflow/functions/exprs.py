@@ -32,9 +32,5 @@ def unfold(arr: str | Column) -> Column:
     return F.explode_outer(arr)
 
 
-def clamp(c: Column, lo, hi) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
-
-
 def joined(arr: Column, sep: str = ",") -> Column:
     return F.array_join(F.transform(arr, lambda x: x.cast("string")), sep)

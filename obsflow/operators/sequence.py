@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsflow.plans.ordered import (
-    Fold, Ordered, before, count_all, lag, row_number,
-)
+from obsflow.plans.ordered import Fold, Ordered, count_all, lag, row_number
 
 
 def absolute_difference(a, b) -> float:

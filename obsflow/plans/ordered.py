@@ -330,6 +330,8 @@ def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     Input files that together have no more rows than one key may have need no job: only
     their footers are read.  The answer steers the physical form, never the result.
     """
+    if df.sparkSession.conf.get(runtime.CHECK, "true") == "false":
+        return 0, 0
     total_rows = runtime.file_rows(df)
     if total_rows is not None and total_rows <= runtime.group_rows(df.sparkSession):
         return total_rows, total_rows

@@ -13,6 +13,8 @@ GROUP_ROWS = "spark.obsflow.group.rows"
 GROUP_ROWS_DEFAULT = 4_000_000
 # Rows per chunk of a large key; the same number unless set.
 CHUNK_ROWS = "spark.obsflow.chunk.rows"
+# "false" when keys are known to be small: nothing is counted.
+CHECK = "spark.obsflow.group.check"
 # A side with at most this many rows may be broadcast.
 BROADCAST_ROWS = "spark.obsflow.broadcast.rows"
 BROADCAST_ROWS_DEFAULT = 200_000
@@ -77,11 +79,3 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     if df.count() <= bound:
         return F.broadcast(df)
     return df
-
-
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
-    """Join condition on equal names where null equals null."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond

@@ -6,7 +6,7 @@ import importlib
 
 from obsflow.llm import ORACLES, QUERIES
 
-MODULES = ["op7"]
+MODULES = ["op1", "op6", "op7"]
 
 
 def load() -> tuple[dict, dict[str, str]]:

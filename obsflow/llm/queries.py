@@ -6,7 +6,7 @@ import importlib
 
 from obsflow.llm import ORACLES, QUERIES
 
-MODULES = ["op1", "op3", "op4", "op5", "op6", "op7"]
+MODULES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7"]
 
 
 def load() -> tuple[dict, dict[str, str]]:

@@ -246,3 +246,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     return map_rows(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make,
                     "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row, as ``round_trip`` with the ids themselves."""
+    import hashlib
+
+    def make():
+        v = vocabulary(path, pattern)
+
+        def f(doc, text):
+            ids = v.encode(text or "")
+            yield doc, len(ids), ids, hashlib.sha256(v.decode(ids)).hexdigest()
+        return f
+
+    return map_rows(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make,
+                    "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string", rows=64)

@@ -9,6 +9,7 @@ capped at 1; the same id always gets the same decision.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from obsflow.llm.quality import SPACE
 from obsflow.plans import runtime
 
+MARGINS = ["source", "lang", "topic"]
 ROUNDS = 12
 # Rounds between two checkpoints.
 STRIDE = 4
@@ -95,6 +97,14 @@ def drawn(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def _calibrated_cells(rows: DataFrame, targets: DataFrame | None, share: float) -> tuple[DataFrame, Callable[[list[Column]], Column]]:
+    """Weight and probability of each cell, and how rows with margins find theirs."""
+    cells = runtime.checkpoint(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    done = calibrated(raked(cells, targets if targets is not None else tempered(cells, MARGINS), MARGINS), share)
+    done = runtime.checkpoint(done.select(*[F.col(m).alias(f"_cell_{m}") for m in MARGINS], F.col("weight").alias("_cell_weight"), F.col("probability").alias("_cell_probability")))
+    return runtime.small(done), lambda columns: reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_cell_{m}")) for m, c in zip(MARGINS, columns, strict=True)])
+
+
 def mixed(docs: DataFrame, targets: DataFrame | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, probability, kept`` of every row.
 
@@ -102,11 +112,15 @@ def mixed(docs: DataFrame, targets: DataFrame | None = None, share: float = SHAR
     source or language is a value.  Null texts have no tokens.  Rows with the same id get
     the same draw.  Other columns are ignored.
     """
-    margins = ["source", "lang", "topic"]
     rows = _rows(docs, id_col, text_col, source_col, lang_col)
-    cells = runtime.checkpoint(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")))
-    done = calibrated(raked(cells, targets if targets is not None else tempered(cells, margins), margins), share)
-    done = runtime.small(runtime.checkpoint(done.select(*[F.col(m).alias(f"_{m}") for m in margins], "weight", "probability")))
-    same = reduce(lambda a, b: a & b, [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in margins])
-    out = rows.join(done, same, "left")
-    return out.select("doc_id", *margins, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (drawn(F.col("doc_id")) < F.col("probability")).alias("kept"))
+    cells, same = _calibrated_cells(rows, targets, share)
+    out = rows.join(cells, same([F.col(m) for m in MARGINS]), "left")
+    return out.select("doc_id", *MARGINS, "n_tokens", F.round("_cell_weight", 6).alias("weight"), F.round("_cell_probability", 6).alias("probability"),
+                      (drawn(F.col("doc_id")) < F.col("_cell_probability")).alias("kept"))
+
+
+def sampled(docs: DataFrame, targets: DataFrame | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``mixed`` keeps, with all their columns."""
+    cells, same = _calibrated_cells(_rows(docs, id_col, text_col, source_col, lang_col), targets, share)
+    margins = [F.col(source_col).cast("string"), F.col(lang_col).cast("string"), topic(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
+    return docs.join(cells, same(margins), "left").filter(drawn(F.col(id_col).cast("bigint")) < F.col("_cell_probability")).select(*[docs[c] for c in docs.columns])

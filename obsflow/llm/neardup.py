@@ -240,6 +240,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    Of rows with the same id and text one stays.  Rows with a null id or without words all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, percent)
+    gone = runtime.small(runtime.checkpoint(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()))
+    rest = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
+    again = runtime.checkpoint(found.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again"))
+    if again.isEmpty():
+        return rest
+    same = F.col(id_col).cast("bigint") == F.col("_again")
+    again = runtime.small(again)
+    twice = rest.join(again, same, "left_semi").withColumn("_text_hash", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    return rest.join(again, same, "left_anti").unionByName(twice.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash"))
+
+
 def components_by_rule(texts: dict[int, str | None], words: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:
     """Set size and component of each text by comparing all pairs of word tuples, for tests."""
     sets = {}

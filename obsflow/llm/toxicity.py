@@ -18,6 +18,7 @@ import re
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,23 +167,16 @@ def _lookup(index: dict[str, int]) -> _Lookup:
     return state["toxicity"][1]
 
 
-def scored(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
-           threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id``, a probability ``p_<category>`` for each category, and ``rejected`` (the last one is above the threshold), of every row.
+def probabilities(text: Column, index: dict[str, int], models: list[np.ndarray]) -> Column:
+    """The chain's probabilities of a text column, in chain order; null for texts without words."""
+    weights = [m.tolist() for m in models]
+    width = len(index)
 
-    Null and empty texts have no words and get the models' intercepts, but are never
-    rejected.  Without labels nothing is rejected.  Other columns are ignored.
-    """
-    categories = categories or CATEGORIES
-    index, models = train(docs, labels, categories, id_col, text_col, sample)
-    names = [f"p_{c}" for c in categories]
-
-    def make():
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
         look = _lookup(index)
-        weights = [m.tolist() for m in models]
-        width = len(index)
-
-        def f(doc, text):
+        got = []
+        for text in texts:
             words = text_words(text)
             hits: dict[int, int] = {}
             for w in words:
@@ -192,8 +186,31 @@ def scored(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | N
             for w in weights:
                 z = w[-1] + sum(min(k, 3) * w[i] for i, k in hits.items()) + sum(p * u for p, u in zip(out, w[width:-1], strict=True))
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield doc, *(round(p, 6) for p in out), bool(words) and bool(index) and out[-1] > threshold
-        return f
+            got.append([round(p, 6) for p in out] if words else None)
+        return pd.Series(got, dtype=object)
+
+    return run(text)
+
+
+def scored(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
+           threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id``, a probability ``p_<category>`` for each category, and ``rejected`` (the last one is above the threshold), of every row.
+
+    Null texts and texts without words have null probabilities and are never rejected.
+    Without labels no word counts and nothing is rejected.  Other columns are ignored.
+    """
+    categories = categories or CATEGORIES
+    index, models = train(docs, labels, categories, id_col, text_col, sample)
+    p = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), probabilities(F.col(text_col).cast("string"), index, models).alias("p"))
+    return p.select("doc_id", *[F.get("p", i).alias(f"p_{c}") for i, c in enumerate(categories)], _rejected(F.col("p"), index, models, threshold).alias("rejected"))
+
+
+def _rejected(p: Column, index: dict[str, int], models: list[np.ndarray], threshold: float) -> Column:
+    return F.coalesce(F.get(p, len(models) - 1) > threshold, F.lit(False)) if index else F.lit(False)
+
 
-    return map_rows(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make,
-                    ", ".join(["doc_id bigint", *(f"{n} double" for n in names), "rejected boolean"]))
+def without_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
+                  threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``scored`` does not reject, with all their columns."""
+    index, models = train(docs, labels, categories or CATEGORIES, id_col, text_col, sample)
+    return docs.filter(~_rejected(probabilities(F.col(text_col).cast("string"), index, models), index, models, threshold))

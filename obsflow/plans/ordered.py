@@ -10,8 +10,11 @@ a sequential rule reached -- in one of two physical forms:
 * some key above ``spark.obsflow.group.rows``: the rows are range partitioned on
   (keys, order), so a large key is spread over many chunks.  Window values are
   computed inside each chunk and corrected with a summary of the chunks before
-  or after it.  Folds run in every chunk at once and are repeated only for
-  chunks whose incoming state turned out different, until nothing changes.
+  or after it; that shuffles the rows by chunk, so before a fold each chunk is
+  brought together and sorted again.  Folds run in every chunk at once and are
+  repeated only for chunks whose incoming state turned out different, until
+  nothing changes.  States of chunks come to the driver, so a rule whose state
+  is a history of its key is run with ``chunked=False``, one key after another.
 
 Both forms give the same rows.  ``order`` must be a total order within a key.
 """
@@ -231,13 +234,14 @@ class Ordered:
             largest, rows = _sizes(df, self.keys)
             chunked = largest > self.bound
             if chunked:
-                parts = max(2, -(-rows // runtime.chunk_rows(spark)))
+                parts = max(2, spark.sparkContext.defaultParallelism, -(-rows // runtime.chunk_rows(spark)))
                 df = _chunks(df, self.keys, self.order, parts)
-        self.df, self.chunked = df, chunked
+        # Whether rows have left the partition of their chunk.
+        self.df, self.chunked, self.moved = df, chunked, False
 
     def _same(self, df: DataFrame) -> Ordered:
         out = Ordered.__new__(Ordered)
-        out.keys, out.order, out.bound, out.chunked, out.df = self.keys, self.order, self.bound, self.chunked, df
+        out.keys, out.order, out.bound, out.chunked, out.moved, out.df = self.keys, self.order, self.bound, self.chunked, self.moved, df
         return out
 
     @property
@@ -286,7 +290,7 @@ class Ordered:
         carried = carried.withColumn("_span", F.count(F.lit(1)).over(Window.partitionBy(*self.keys)))
         carried = carried.filter("_span > 1").select(*by, *[f"_c_{n}" for n in ops])
         df = df.withColumns({f"_v_{n}": op.local(w, k) for n, op in ops.items()})
-        right = F.broadcast(carried.select(*[F.col(b).alias(f"_r_{b}") for b in by], *[f"_c_{n}" for n in ops]))
+        right = runtime.small(runtime.checkpoint(carried.select(*[F.col(b).alias(f"_r_{b}") for b in by], *[f"_c_{n}" for n in ops])))
         cond = F.lit(True)
         for b in by:
             cond = cond & df[b].eqNullSafe(right[f"_r_{b}"])
@@ -295,7 +299,9 @@ class Ordered:
             value = op.merge(F.col(f"_v_{n}"), F.col(f"_c_{n}"))
             df = df.withColumn(n, op.pick(value) if isinstance(op, _Shift) else value)
         keep = [c for c in df.columns if not c.startswith(("_v_", "_c_", "_r_")) and c not in ("_tail", "_head")]
-        return self._same(df.select(*keep))
+        out = self._same(df.select(*keep))
+        out.moved = True
+        return out
 
     def fold(self, fold: Fold, cols: list[str]) -> DataFrame:
         """Run a sequential rule; the result has the keys and the fold's columns."""
@@ -307,7 +313,9 @@ class Ordered:
             src = self.df.withColumn("_seq", F.row_number().over(w)).select(*self.keys, *cols, "_seq")
         else:
             tail = [CHUNK] if self.chunked else []
-            src = self.df.select(*self.keys, *cols, *tail, *[o for o in self.order if not self.chunked and o not in cols])
+            src = self.df.select(*self.keys, *cols, *tail, *[o for o in self.order if o not in cols and o not in self.keys])
+            if self.chunked and self.moved:
+                src = runtime.checkpoint(src.repartition(CHUNK).sortWithinPartitions(CHUNK, *self.keys, *self.order))
         key_fields = [src.schema[k] for k in self.keys]
         schema = T.StructType(key_fields + T.StructType.fromDDL(fold.schema).fields)
         arrow = to_arrow_schema(schema)
@@ -327,11 +335,10 @@ def fits(df: DataFrame, keys: list[str]) -> bool | None:
 def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     """Rows of the largest key and of the whole frame, or an upper bound of both.
 
-    Input files that together have no more rows than one key may have need no job: only
-    their footers are read.  The answer steers the physical form, never the result.
+    Where no step can add rows and the input files together have no more rows than one key
+    may have, only their footers are read; else rows are counted by key.  The answer steers
+    the physical form, never the result.
     """
-    if df.sparkSession.conf.get(runtime.CHECK, "true") == "false":
-        return 0, 0
     total_rows = runtime.file_rows(df)
     if total_rows is not None and total_rows <= runtime.group_rows(df.sparkSession):
         return total_rows, total_rows
@@ -386,29 +393,37 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 def _chunk_fold(src: DataFrame, fold: Fold, nk: int, nc: int, schema, arrow) -> DataFrame:
     """Fold every chunk at once, then redo the chunks whose incoming state differed."""
 
-    def states(incoming: dict[int, tuple]):
+    # A partition holds whole chunks, one after the other.
+    def states(incoming: dict[int, bytes]):
         def run(batches):
             chunk = first = key = core = acc = None
+
+            def state():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int32()), pa.array([pickle.dumps((first, key, core, acc))], pa.binary())],
+                    names=[CHUNK, "state"],
+                )
+
             for batch in batches:
-                for this, row in _rows(batch, nk, nc):
-                    if chunk is None:
-                        chunk, first, key = batch.column(nk + nc)[0].as_py(), this, this
-                        core = incoming[chunk][0] if chunk in incoming else fold.start()
+                for at, (this, row) in zip(batch.column(nk + nc).to_pylist(), _rows(batch, nk, nc)):
+                    if chunk != at:
+                        if chunk is not None:
+                            yield state()
+                        chunk, first, key = at, this, this
+                        core = pickle.loads(incoming[chunk]) if chunk in incoming else fold.start()
                         acc = [0] * fold.counters
                     elif this != key:
                         key, core, acc = this, fold.start(), [0] * fold.counters
                     core = fold.step(core, acc, row, _ignore)
             if chunk is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int32()), pa.array([pickle.dumps((first, key, core, acc))], pa.binary())],
-                    names=[CHUNK, "state"],
-                )
+                yield state()
 
         return run
 
     # One compact state per chunk comes back; the rows never do.
     ends: dict[int, tuple] = {}
-    incoming: dict[int, tuple] = {}
+    incoming: dict[int, bytes] = {}
+    untouched = pickle.dumps(fold.start())
     todo: list[int] | None = None
     while todo is None or todo:
         part = src if todo is None else src.filter(F.col(CHUNK).isin(todo))
@@ -418,10 +433,9 @@ def _chunk_fold(src: DataFrame, fold: Fold, nk: int, nc: int, schema, arrow) ->
         todo = []
         for a, b in zip(order, order[1:]):
             if ends[a][1] == ends[b][0]:
-                seed = (ends[a][2],)
-                if incoming.get(b, (fold.start(),)) != seed:
+                if pickle.loads(incoming.get(b, untouched)) != ends[a][2]:
                     todo.append(b)
-                incoming[b] = seed
+                incoming[b] = pickle.dumps(ends[a][2])
     # Totals: prefix sums along the chunks a key spans.
     totals: dict[int, list[int]] = {}
     closed: set[int] = set()
@@ -443,10 +457,12 @@ def _chunk_fold(src: DataFrame, fold: Fold, nk: int, nc: int, schema, arrow) ->
             out.append(key + values)
 
         for batch in batches:
-            for this, row in _rows(batch, nk, nc):
-                if chunk is None:
-                    chunk, key = batch.column(nk + nc)[0].as_py(), this
-                    core = incoming[chunk][0] if chunk in incoming else fold.start()
+            for at, (this, row) in zip(batch.column(nk + nc).to_pylist(), _rows(batch, nk, nc)):
+                if chunk != at:
+                    if chunk in closed:
+                        fold.finish(core, acc, emit)
+                    chunk, key = at, this
+                    core = pickle.loads(incoming[chunk]) if chunk in incoming else fold.start()
                     acc = list(totals.get(chunk, [0] * fold.counters))
                 elif this != key:
                     fold.finish(core, acc, emit)

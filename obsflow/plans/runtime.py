@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,6 @@ GROUP_ROWS = "spark.obsflow.group.rows"
 GROUP_ROWS_DEFAULT = 4_000_000
 # Rows per chunk of a large key; the same number unless set.
 CHUNK_ROWS = "spark.obsflow.chunk.rows"
-# "false" when keys are known to be small: nothing is counted.
-CHECK = "spark.obsflow.group.check"
 # A side with at most this many rows may be broadcast.
 BROADCAST_ROWS = "spark.obsflow.broadcast.rows"
 BROADCAST_ROWS_DEFAULT = 200_000
@@ -32,26 +31,38 @@ def chunk_rows(spark: SparkSession) -> int:
     return setting(spark, CHUNK_ROWS, group_rows(spark))
 
 
-_ROWS: dict[tuple[str, ...], int] = {}
+# Plan nodes that keep or lower the number of rows.
+_NO_MORE = frozenset("Project Filter Aggregate Distinct Deduplicate Sort Window SubqueryAlias View RepartitionByExpression Repartition GlobalLimit LocalLimit Sample Relation LogicalRelation".split())
+
+
+def _nodes(plan):
+    yield plan.nodeName()
+    kids = plan.children()
+    for i in range(kids.size()):
+        yield from _nodes(kids.apply(i))
 
 
 def file_rows(df: DataFrame) -> int | None:
-    """Rows of the parquet files a frame reads, from their footers; None for other sources."""
-    files = tuple(sorted(df.inputFiles()))
-    if not files or len(files) > 2000 or not all(f.endswith(".parquet") for f in files):
+    """An upper bound of the rows of a frame from the footers of the parquet files it reads.
+
+    None where a step could add rows (a join, a union, a generator, a function over
+    partitions) or another source is read.
+    """
+    if not all(n.split(" ")[0] in _NO_MORE for n in _nodes(df._jdf.queryExecution().analyzed())):
+        return None
+    files = sorted(df.inputFiles())
+    if not files or not all(f.endswith(".parquet") for f in files):
         return None
-    if files not in _ROWS:
-        _ROWS[files] = df.sparkSession.read.parquet(*files).count()
-    return _ROWS[files]
+    return df.sparkSession.read.parquet(*files).count()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only in local mode."""
+    """The session's shared checkpoint folder; a temporary one only in local mode, where the driver does all the work."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="obsflow-")
         sc.setCheckpointDir(shared)

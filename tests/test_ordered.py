@@ -76,6 +76,41 @@ def test_folds_agree(spark, values):
     assert small == large
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_folds_after_windows_agree(spark, adaptive):
+    """Windows shuffle rows by chunk; here there are more chunks than shuffle partitions."""
+    rnd = random.Random(7)
+    d = spark.createDataFrame([(rnd.choice(["hot", "hot", "hot", "x", None]), i, rnd.randint(0, 2)) for i in range(1000)], "k string, i int, v int").repartition(4)
+
+    def run():
+        x = o.Ordered(d, ["k"], ["i"]).with_columns(rn=o.row_number(), was=o.lag("v"))
+        return rows(x.where(F.col("rn") % 7 != 3).fold(Runs(), ["rn", "v"]))
+
+    small = run()
+    conf = {"spark.obsflow.group.rows": "1", "spark.obsflow.chunk.rows": "30", "spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        large = run()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert small == large
+
+
+def test_size_of_an_exploded_input_is_counted(spark, tmp_path):
+    spark.createDataFrame([("a b c " * 50,), ("d",)], "t string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    words = t.select(F.posexplode(F.split("t", " ")).alias("i", "w")).withColumn("k", F.lit("hot"))
+    assert runtime.file_rows(t.filter("t <> ''")) == 2 and runtime.file_rows(words) is None
+    spark.conf.set("spark.obsflow.group.rows", "20")
+    try:
+        assert o.Ordered(words, ["k"], ["i", "w"]).chunked
+        assert not o.Ordered(t.withColumn("k", F.lit(1)), ["k"], ["t"]).chunked
+    finally:
+        spark.conf.unset("spark.obsflow.group.rows")
+
+
 def test_exact_median(sized):
     d = sized.createDataFrame([("a", 1.0, 1), ("a", 9.0, 2), ("a", 3.0, 3), ("a", 4.0, 4), ("b", 5.0, 5)], "k string, v double, i int")
     assert rows(o.exact_median(d, ["k"], "v", "m", ["i"])) == [("a", 3.5), ("b", 5.0)]

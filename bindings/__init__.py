@@ -29,15 +29,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores, dealt out for heavy row-local work.
-
-    Large tables have many splits and are left as they are.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def load() -> tuple[dict, dict[str, str]]:
     for m in MODULES:
         importlib.import_module(f"bindings.{m}")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, spread, table
+from bindings import query, table
 from bindings.lookup import RATE_SQL, rates
 from bindings.streams import EVN, LI, LINE_ORDER, ev
 from obsflow.operators import account as a
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 def _wrap_rows(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return d.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("at", "word"))
 
 
@@ -157,7 +157,7 @@ CLASSES = """cl AS (SELECT b * f AS v, name, d AS dots, false AS tri, 0.0001 AS
 k AS (SELECT dur, name, dots, tri FROM u, cl WHERE abs(dur - v) < tol QUALIFY row_number() OVER (PARTITION BY dur ORDER BY pr) = 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, name AS type, dots, tri AS triplet FROM d LEFT JOIN k USING (dur)""")
 def _(spark, sf):
-    l = spread(table(spark, sf, "lineitem")).select("l_orderkey", *LINE_ORDER, y.rhythm_class(F.col("l_quantity") / 16).alias("r"))
+    l = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER, y.rhythm_class(F.col("l_quantity") / 16).alias("r"))
     return l.select("l_orderkey", *LINE_ORDER, "r.type", "r.dots", "r.triplet")
 
 
@@ -175,15 +175,15 @@ def _(spark, sf):
     return out.select("l_orderkey", "seq", "level", "kind")
 
 
-@query("score_timeline", "WITH " + LI + """, d AS (SELECT l_orderkey, seq, l_linestatus AS st, CAST(1 + l_suppkey % 2 AS INTEGER) AS vo, l_linenumber * 4.0::DOUBLE AS onset, l_quantity / 16 AS dur, l_returnflag <> 'R' AS nt FROM li),
-n AS (SELECT *, coalesce(lag(onset + dur) OVER w, 0) AS cur, lead(seq) OVER w IS NULL AS fin FROM d WINDOW w AS (PARTITION BY l_orderkey, st, vo ORDER BY onset, seq)),
-b AS (SELECT l_orderkey, st, vo, lag(onset + dur) OVER (PARTITION BY l_orderkey ORDER BY st, vo) AS pl FROM n WHERE fin)
+@query("score_timeline", "WITH " + LI + """, d AS (SELECT l_orderkey, seq, l_linestatus AS st, CAST(1 + l_suppkey % 2 AS INTEGER) AS vo, l_linenumber * 1.0::DOUBLE AS onset, l_quantity / 16 AS dur, l_returnflag <> 'R' AS nt FROM li),
+n AS (SELECT *, coalesce(max(onset + dur) OVER (PARTITION BY l_orderkey, st, vo ORDER BY onset, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM d),
+b AS (SELECT l_orderkey, st, vo, lag(max(onset + dur)) OVER (PARTITION BY l_orderkey ORDER BY st, vo) AS pl FROM n GROUP BY l_orderkey, st, vo)
 SELECT l_orderkey, st, vo, seq AS pos, 'forward' AS kind, CAST(round_even((onset - cur) * 960, 0) AS BIGINT) AS divisions FROM n WHERE onset > cur + 0.001
 UNION ALL SELECT l_orderkey, st, vo, seq, CASE WHEN nt THEN 'note' ELSE 'rest' END, CAST(round_even(dur * 960, 0) AS BIGINT) FROM n
 UNION ALL SELECT l_orderkey, st, vo, 0, 'backup', CAST(round_even(pl * 960, 0) AS BIGINT) FROM b WHERE pl > 0""")
 def _(spark, sf):
     d = items(spark, sf).select("l_orderkey", "seq", F.col("l_linestatus").alias("st"), (1 + F.col("l_suppkey") % 2).cast("int").alias("vo"),
-                                (F.col("l_linenumber") * 4.0).alias("onset"), (F.col("l_quantity") / 16).alias("dur"), "l_returnflag")
+                                (F.col("l_linenumber") * 1.0).alias("onset"), (F.col("l_quantity") / 16).alias("dur"), "l_returnflag")
     return y.score_timeline(d, ORDER, "seq", "onset", "dur", "st", "vo", F.col("l_returnflag") != "R")
 
 

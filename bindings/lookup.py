@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, spread, table
+from bindings import query, table
 from bindings.streams import EV, EVN, ev
 from bindings.sequence import RAST, rasters
 from obsflow.operators import bands as b
@@ -199,7 +199,7 @@ def _(spark, sf):
     s = F.lit(50.0) + F.col("p_size") % 5 * 10
     bands = p.select("p_brand", F.col("p_size").alias("band"), (F.col("p_size") * 1000.0).alias("f"),
                      (F.col("p_size") * 1000.0 + s * 4).alias("z"), s.alias("s")).distinct()
-    boxes = spread(table(spark, sf, "lineitem")).join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    boxes = table(spark, sf, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     boxes = boxes.select("p_brand", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") / 2).alias("y0"),
                          (F.col("l_extendedprice") / 2 + F.col("l_quantity") * 10).alias("y1"))
     out = b.nearest_band_assign(boxes, bands, ["p_brand"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "y0", "y1", "band", "f", "z", "s", 1000.0)
@@ -216,17 +216,19 @@ def _(spark, sf):
     return out.drop("spacing")
 
 
-@query("band_bounds", """WITH p AS (SELECT event_type, CAST((epoch_us(ts) - 1704067200000000) // 3600000000 AS INTEGER) AS i, count(*) AS n FROM events GROUP BY ALL),
+@query("band_bounds", """WITH h AS (SELECT event_type, CAST(floor(epoch_us(ts) / 3600e6) AS BIGINT) AS h FROM events), z AS (SELECT min(h) AS a, max(h) - min(h) + 1 AS height FROM h),
+p AS (SELECT event_type, CAST(h - (SELECT a FROM z) AS INTEGER) AS i, count(*) AS n FROM h GROUP BY ALL),
 a AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY event_type) AS mx FROM p) WHERE n >= greatest(3, mx * 0.06)),
 s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY event_type ORDER BY i) <= 3 THEN 0 ELSE 1 END AS nw FROM a),
 g AS (SELECT *, sum(nw) OVER (PARTITION BY event_type ORDER BY i) AS g FROM s),
 b AS (SELECT event_type, min(i) AS f, max(i) AS l FROM g GROUP BY event_type, g HAVING max(i) - min(i) + 1 >= 6),
 w AS (SELECT *, lag(l) OVER (PARTITION BY event_type ORDER BY f) AS pl, lead(f) OVER (PARTITION BY event_type ORDER BY f) AS nf, greatest(4, round_even((l - f + 1) * 0.3, 0)) AS pad FROM b)
-SELECT event_type, CAST(greatest(0, f - pad, coalesce((pl + f) // 2 + 1, 0)) AS INTEGER) AS top, CAST(least(720, l + pad + 1, coalesce((l + nf) // 2 + 1, 720)) AS INTEGER) AS bottom FROM w""")
+SELECT event_type, CAST(greatest(0, f - pad, coalesce((pl + f) // 2 + 1, 0)) AS INTEGER) AS top, CAST(least(height, l + pad + 1, coalesce((l + nf) // 2 + 1, height)) AS INTEGER) AS bottom FROM w, z""")
 def _(spark, sf):
-    i = F.floor((F.col("t") - MONTH) / 3600).cast("int")
-    p = ev(spark, sf).groupBy("event_type", i.alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return b.band_bounds(p, ["event_type"], "i", "n", 720)
+    h = ev(spark, sf).select("event_type", F.floor(F.col("t") / 3600).alias("h"))
+    first, last = h.agg(F.min("h"), F.max("h")).first()
+    p = h.groupBy("event_type", (F.col("h") - (first or 0)).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return b.band_bounds(p, ["event_type"], "i", "n", (last or 0) - (first or 0) + 1)
 
 
 XS = "xs AS (SELECT DISTINCT l_orderkey, l_linestatus, CAST(floor(l_extendedprice / 100) AS INTEGER) AS x FROM lineitem)"

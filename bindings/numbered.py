@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings import query, spread, table
+from bindings import query, table
 from bindings.reconcile import bars
 from bindings.streams import EV, LINE_ORDER, ev
 from obsflow.operators import numbered as n
@@ -52,16 +52,16 @@ def _(spark, sf):
     return n.verify_numbering(boundaries(spark, sf), ORDER, ["l_linenumber"], "x", "label", widths(spark))
 
 
-@query("propagate_by_width", "WITH RECURSIVE " + BOUNDS + """, s AS (SELECT l_orderkey, i, x, n FROM bd),
-wd(num, w) AS (VALUES (1, 210.0::DOUBLE), (2, 210.0), (3, 210.0), (5, 210.0), (6, 210.0)),
-r1 AS (SELECT s.l_orderkey, s.i, s.x, coalesce(s.n, CASE WHEN abs(s.x - l.x - wl.w) <= greatest(4, wl.w * 0.02) THEN l.n + 1 END, CASE WHEN r.n > 1 AND abs(r.x - s.x - wr.w) <= greatest(4, wr.w * 0.02) THEN r.n - 1 END) AS n
- FROM s LEFT JOIN s l ON l.l_orderkey = s.l_orderkey AND l.i = s.i - 1 LEFT JOIN s r ON r.l_orderkey = s.l_orderkey AND r.i = s.i + 1 LEFT JOIN wd wl ON wl.num = l.n LEFT JOIN wd wr ON wr.num = r.n - 1),
-r2 AS (SELECT s.l_orderkey, s.i, s.x, coalesce(s.n, CASE WHEN abs(s.x - l.x - wl.w) <= greatest(4, wl.w * 0.02) THEN l.n + 1 END, CASE WHEN r.n > 1 AND abs(r.x - s.x - wr.w) <= greatest(4, wr.w * 0.02) THEN r.n - 1 END) AS n
- FROM r1 s LEFT JOIN r1 l ON l.l_orderkey = s.l_orderkey AND l.i = s.i - 1 LEFT JOIN r1 r ON r.l_orderkey = s.l_orderkey AND r.i = s.i + 1 LEFT JOIN wd wl ON wl.num = l.n LEFT JOIN wd wr ON wr.num = r.n - 1)
-SELECT l_orderkey, x, n AS number FROM r2""")
+@query("propagate_by_width", "WITH RECURSIVE " + BOUNDS + """, wd(num, w) AS (VALUES (1, 210.0::DOUBLE), (2, 210.0), (3, 210.0), (5, 210.0), (6, 210.0)),
+z AS (SELECT *, max(i) OVER (PARTITION BY l_orderkey) AS k FROM bd),
+f AS (SELECT l_orderkey, i, x, n, 0 AS d FROM z WHERE i = 1
+ UNION ALL SELECT s.l_orderkey, s.i, s.x, coalesce(s.n, CASE WHEN abs(s.x - f.x - w) <= greatest(4, w * 0.02) THEN f.n + 1 END), CASE WHEN s.n IS NULL THEN f.d + 1 ELSE 0 END FROM f JOIN z s ON s.l_orderkey = f.l_orderkey AND s.i = f.i + 1 LEFT JOIN wd ON wd.num = f.n),
+g AS (SELECT l_orderkey, i, x, n, 0 AS d FROM z WHERE i = k
+ UNION ALL SELECT s.l_orderkey, s.i, s.x, coalesce(s.n, CASE WHEN g.n > 1 AND abs(g.x - s.x - w) <= greatest(4, w * 0.02) THEN g.n - 1 END), CASE WHEN s.n IS NULL THEN g.d + 1 ELSE 0 END FROM g JOIN z s ON s.l_orderkey = g.l_orderkey AND s.i = g.i - 1 LEFT JOIN wd ON wd.num = g.n - 1)
+SELECT l_orderkey, f.x, CASE WHEN f.n IS NULL THEN g.n WHEN g.n IS NULL OR f.d <= g.d THEN f.n ELSE g.n END AS number FROM f JOIN g USING (l_orderkey, i)""")
 def _(spark, sf):
     d = boundaries(spark, sf).select("l_orderkey", "x", F.col("label").cast("bigint").alias("number"))
-    return n.propagate_by_width(d, ORDER, "x", "number", widths(spark), [], rounds=2).select("l_orderkey", "x", "number")
+    return n.propagate_by_width(d, ORDER, "x", "number", widths(spark), []).select("l_orderkey", "x", "number")
 
 
 @query("width_consensus", """WITH RECURSIVE s AS (SELECT l_partkey AS number, l_quantity AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS i FROM lineitem),
@@ -172,14 +172,14 @@ def _(spark, sf):
 d AS (SELECT doc_id, CASE WHEN b = '' THEN 'Sheet music' ELSE b END AS b FROM t)
 SELECT doc_id, CASE WHEN upper(string_split(b, '.')[1]) IN ('CON', 'PRN', 'AUX', 'NUL', 'COM1', 'LPT1') THEN '_' || b ELSE b END AS name FROM d""")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", p.safe_name(F.col("text")).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", p.safe_name(F.col("text")).alias("name"))
 
 
 @query("range_rules", """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['bpm', 'beats', 'bar_override', 'height_scale']) AS field, unnest([l_quantity * 8, l_quantity / 2, l_quantity / 2, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount * 30 END]) AS value, unnest([30, 1, 0, 0.25]) AS lo, unnest([300, 16, 16, 2]) AS hi FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, field, value, CASE WHEN value IS NULL THEN 'not finite' WHEN value NOT BETWEEN lo AND hi THEN 'out of range' ELSE 'not whole' END AS rule FROM v
 WHERE value IS NULL OR value NOT BETWEEN lo AND hi OR (field = 'bar_override' AND value <> floor(value))""")
 def _(spark, sf):
-    d = spread(table(spark, sf, "lineitem")).select("l_orderkey", *LINE_ORDER, (F.col("l_quantity") * 8).alias("bpm"), (F.col("l_quantity") / 2).alias("beats"),
+    d = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER, (F.col("l_quantity") * 8).alias("bpm"), (F.col("l_quantity") / 2).alias("beats"),
                                             (F.col("l_quantity") / 2).alias("bar_override"), F.when(F.col("l_tax") != 0, F.col("l_discount") * 30).alias("height_scale"))
     return p.range_rules(d, ["l_orderkey", *LINE_ORDER], ["bpm", "beats", "bar_override", "height_scale"])
 
@@ -209,7 +209,7 @@ def _(spark, sf):
 def _(spark, sf):
     note = F.array(F.struct((F.col("l_partkey") % 6).cast("int").alias("string"), (F.col("l_suppkey") % 24).cast("string").alias("fret"), F.lit("x").alias("step"),
                             F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("marks")))
-    d = spread(table(spark, sf, "lineitem")).withColumn("notes", p.compact(note, "bass"))
+    d = table(spark, sf, "lineitem").withColumn("notes", p.compact(note, "bass"))
     return d.select("l_orderkey", *LINE_ORDER, F.to_json(p.fill_defaults(F.col("notes"), p.NOTE_FIELDS["bass"])).alias("notes"))
 
 
@@ -228,7 +228,7 @@ def _(spark, sf):
 @query("mark_set_check", r"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and', 'la', 'le', 'de')))) AS ws FROM documents)
 SELECT doc_id, md5(array_to_string(ws, ', ')) AS unsupported FROM w""")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(p.mark_set_check(F.col("text"), ["the", "of", "and", "la", "le", "de"])).alias("unsupported"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(p.mark_set_check(F.col("text"), ["the", "of", "and", "la", "le", "de"])).alias("unsupported"))
 
 
 @query("mode_routing", """SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'ai' WHEN coalesce(h, false) THEN 'manual' ELSE 'automatic' END AS mode FROM orders LEFT JOIN (SELECT l_orderkey, bool_and(CAST(l_quantity AS INTEGER) % 2 = 0) AS h FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")

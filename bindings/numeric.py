@@ -18,16 +18,23 @@ TYPE = ["event_type"]
 
 
 def hourly(spark, sf, minutes=60):
-    """Dense event counts per type."""
+    """Dense event counts per type, from the first to the last interval that has events."""
     e = month(spark, sf).withColumn("i", F.floor(F.col("t") / (minutes * 60)))
-    n = e.groupBy("event_type", "i").agg(F.count(F.lit(1)).alias("n"))
-    last = 43200 // minutes - 1
-    grid = explode_range(e.select("event_type").distinct(), "i", F.lit(0), F.lit(last))
+    first, last = e.agg(F.min("i"), F.max("i")).first()
+    first, last = (0, -1) if first is None else (first, last)
+    n = e.groupBy("event_type", (F.col("i") - first).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    grid = explode_range(e.select("event_type").distinct(), "i", F.lit(0), F.lit(last - first))
     return grid.join(n, ["event_type", "i"], "left").select("event_type", "i", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
 
 
-HOURS = """hr AS (SELECT ty.event_type, g.i, CAST(coalesce(c.n, 0) AS DOUBLE) AS x FROM (SELECT DISTINCT event_type FROM events) ty, range(0, 720) g(i)
- LEFT JOIN (SELECT event_type AS et, (epoch_us(ts) - 1704067200000000) // 3600000000 AS h, count(*) AS n FROM events GROUP BY ALL) c ON c.et = ty.event_type AND c.h = g.i)"""
+def dense_sql(name, minutes):
+    return f"""{name}c AS (SELECT event_type, CAST(floor((epoch_us(ts) - 1704067200000000) / {minutes * 60e6}) AS BIGINT) AS h, count(*) AS n FROM events GROUP BY ALL),
+{name}z AS (SELECT min(h) AS a, max(h) AS z FROM {name}c),
+{name} AS (SELECT ty.event_type, g.i, CAST(coalesce(c.n, 0) AS DOUBLE) AS x FROM (SELECT DISTINCT event_type FROM events) ty, {name}z, LATERAL (SELECT unnest(range(0, z - a + 1)) AS i) g
+ LEFT JOIN {name}c c ON c.event_type = ty.event_type AND c.h - (SELECT a FROM {name}z) = g.i)"""
+
+
+HOURS = dense_sql("hr", 60)
 
 
 def onset_sql(by):
@@ -83,9 +90,15 @@ def _(spark, sf):
     return t.segment_consensus(s, TYPE, "seg", min_score=0.02)
 
 
-@query("spectral_onset")
+@query("spectral_onset", "WITH " + dense_sql("mn", 1) + """, w AS (SELECT event_type, i // 16 AS k0, i, x FROM mn), last AS (SELECT event_type, max(i) AS z FROM mn GROUP BY 1),
+fr AS (SELECT event_type, unnest(range(0, (z - 63) // 16 + 1)) AS k FROM last WHERE z >= 63),
+ft AS (SELECT fr.event_type, fr.k, f, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - 16 * k) / 63)) * cos(2 * pi() * f * (i - 16 * k) / 64)) AS re, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - 16 * k) / 63)) * sin(2 * pi() * f * (i - 16 * k) / 64)) AS im
+ FROM fr JOIN mn ON mn.event_type = fr.event_type AND mn.i >= 16 * k AND mn.i < 16 * k + 64, range(1, 32) q(f) GROUP BY ALL),
+lg AS (SELECT event_type, k, f, ln(1 + 10 * sqrt(re * re + im * im)) AS v FROM ft),
+df AS (SELECT a.event_type, a.k, greatest(0, b.v - a.v) AS r FROM lg a JOIN lg b ON b.event_type = a.event_type AND b.f = a.f AND b.k = a.k + 1)
+SELECT event_type, k AS frame, round(avg(r), 6) + 0.0 AS flux FROM df GROUP BY ALL""")
 def _(spark, sf):
-    return t.spectral_onset(hourly(spark, sf, minutes=1), TYPE, "i", "x", size=64, hop=16, low=1, high=32)
+    return t.spectral_onset(hourly(spark, sf, minutes=1), TYPE, "i", "x", size=64, hop=16, low=1, high=32).withColumn("flux", F.round("flux", 6))
 
 
 TIMED = "WITH " + EV + """, q AS (SELECT user_id, event_id, event_type, floor((t - 1704067200) / 21600) * 10 AS t FROM ev),
@@ -308,8 +321,11 @@ def _(spark, sf):
     return w.select("user_id", "f", F.lit("wide").alias("kind")).unionByName(n.select("user_id", "f", F.lit("narrow").alias("kind")))
 
 
-@query("panel_extent", ONE + """, sm AS (SELECT event_type, i, avg(x) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM hs)
-SELECT event_type, greatest(300, max(i) FILTER (WHERE i < 360 AND NOT a > 1.6) + 1) AS top, least(420, min(i) FILTER (WHERE i > 360 AND NOT a > 1.6)) AS bottom FROM sm GROUP BY 1""")
+@query("panel_extent", ONE + """, sm AS (SELECT event_type, i, avg(x) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM hs),
+mid AS (SELECT (max(i) + 1) // 2 AS m FROM hs)
+SELECT event_type, greatest(any_value(m) - 60, max(i) FILTER (WHERE i < m AND NOT a > 1.6) + 1) AS top, least(any_value(m) + 60, min(i) FILTER (WHERE i > m AND NOT a > 1.6)) AS bottom FROM sm, mid GROUP BY 1""")
 def _(spark, sf):
+    h = hourly(spark, sf)
+    mid = ((h.agg(F.max("i")).first()[0] or 0) + 1) // 2
     lim = lambda v: F.lit(v).cast("bigint")
-    return b.panel_extent(hourly(spark, sf), TYPE, "i", "x", F.lit(360), 1.6, lim(300), lim(420))
+    return b.panel_extent(h, TYPE, "i", "x", F.lit(mid), 1.6, lim(mid - 60), lim(mid + 60))

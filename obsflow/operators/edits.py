@@ -1,8 +1,9 @@
 """Replaying logs of edits over ordered lines.
 
-A project's edits refer to positions that earlier edits moved, so each project is
-replayed in order; projects are independent of one another.  Only line numbers travel
-through the replay, the lines themselves are joined back afterwards.
+A project's edits refer to positions that earlier edits moved, so a project is replayed
+in order by one task, however large it is; projects are independent of one another.  The
+task keeps the project's line numbers, the lines themselves are joined back afterwards.
+Nothing of it passes through the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ class _Replay(Fold):
 
     def step(self, core, acc, row, emit):
         is_line, seq, line, included, op, index, direction = row
-        items, removed = list(core[0]), core[1]
+        # Changed in place: the state never leaves the task.
+        items, removed = core
         n = len(items)
         if is_line:
             items.append((line, included))
@@ -30,14 +32,13 @@ class _Replay(Fold):
             if not removed:
                 emit("rejected", seq, None, None)
                 return core
-            at, item = removed[-1]
-            removed = removed[:-1]
+            at, item = removed.pop()
             items.insert(min(at, n), item)
         elif index is None or not 0 <= index < n:
             emit("rejected", seq, None, None)
             return core
         elif op == "remove":
-            removed = [*removed, (index, items.pop(index))]
+            removed.append((index, items.pop(index)))
         elif op == "duplicate":
             items.insert(index + 1, items[index])
         elif op == "move":
@@ -46,7 +47,7 @@ class _Replay(Fold):
                 items[index], items[to] = items[to], items[index]
         elif op == "include":
             items[index] = (items[index][0], included)
-        return (items, removed)
+        return core
 
     def finish(self, core, acc, emit):
         for i, (line, included) in enumerate(core[0]):
@@ -64,7 +65,7 @@ def replay_edits(lines: DataFrame, log: DataFrame, keys, line_order, line: str,
     b = log.select(*keys, F.lit(1).alias("_side"), F.lit(None).cast(_type(lines, line_order)).alias("_lo"), F.struct(*log_order).alias("_go"),
                    F.lit(False).alias("_is"), F.col(log_order[-1]).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("_line"),
                    F.col("included"), F.col("op"), F.col("index").cast("int").alias("index"), F.col("direction").cast("int").alias("direction"))
-    o = Ordered(a.unionByName(b), keys, ["_side", "_lo", "_go"])
+    o = Ordered(a.unionByName(b), keys, ["_side", "_lo", "_go"], chunked=False)
     return o.fold(_Replay(), ["_is", "seq", "_line", "included", "op", "index", "direction"])
 
 
@@ -108,30 +109,31 @@ class _Moves(Fold):
     schema = "seq bigint, line bigint, rejected boolean"
 
     def start(self):
-        return ((), (), False)
+        return {"first": [], "known": set(), "now": None, "bad": False}
 
     def step(self, core, acc, row, emit):
+        # Changed in place: the state never leaves the task.
         is_line, line, before = row
-        first, now, bad = core
         if is_line:
-            return ((*first, line), (*now, line), False)
-        if bad:
-            return core
-        left = [x for x in now if x != line]
-        if line not in first or (before and before not in left):
-            return (first, now, True)
-        at = left.index(before) if before else len(left)
-        left.insert(at, line)
-        return (first, tuple(left), False)
+            core["first"].append(line)
+            core["known"].add(line)
+        elif not core["bad"]:
+            if core["now"] is None:
+                core["now"] = list(core["first"])
+            if line not in core["known"] or before and (before == line or before not in core["known"]):
+                core["bad"] = True
+            else:
+                core["now"].remove(line)
+                core["now"].insert(core["now"].index(before) if before else len(core["now"]), line)
+        return core
 
     def finish(self, core, acc, emit):
-        first, now, bad = core
-        for i, line in enumerate(first if bad else now):
-            emit(i, line, bad)
+        for i, line in enumerate(core["first"] if core["bad"] or core["now"] is None else core["now"]):
+            emit(i, line, core["bad"])
 
 
 def move_before(lines: DataFrame, moves: DataFrame, keys, line: str, target: str, before: str, order: str) -> DataFrame:
     """Apply a batch of moves by original line number (0 = to the end); an unknown line rejects the batch."""
     a = lines.select(*keys, F.lit(0).alias("_side"), F.col(line).cast("bigint").alias("_at"), F.lit(True).alias("_is"), F.col(line).cast("bigint").alias("_line"), F.lit(0).cast("bigint").alias("_before"))
     b = moves.select(*keys, F.lit(1).alias("_side"), F.col(order).cast("bigint").alias("_at"), F.lit(False).alias("_is"), F.col(target).cast("bigint").alias("_line"), F.col(before).cast("bigint").alias("_before"))
-    return Ordered(a.unionByName(b), keys, ["_side", "_at"]).fold(_Moves(), ["_is", "_line", "_before"])
+    return Ordered(a.unionByName(b), keys, ["_side", "_at"], chunked=False).fold(_Moves(), ["_is", "_line", "_before"])

@@ -21,27 +21,6 @@ def _typed(df: DataFrame, cols) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
-class _Reflow(Fold):
-    counters = 1
-
-    def __init__(self, target, schema):
-        self.target = target
-        self.schema = f"{schema}, row bigint, pos int, row_target int"
-
-    def step(self, core, acc, row, emit):
-        measured, scale, override = row[:3]
-        if not measured or not self.target:
-            acc[0] += 1
-            emit(*row[3:], acc[0], 1, 0)
-            return None
-        if core is None or core[2] != scale or override or core[0] == core[1]:
-            acc[0] += 1
-            core = (0, override or self.target, scale)
-        core = (core[0] + 1, core[1], scale)
-        emit(*row[3:], acc[0], core[0], core[1])
-        return core
-
-
 def reflow_rows(items: DataFrame, keys, order, target: int, *, included: Column | None = None, measured: Column | None = None,
                 scale: Column | None = None, override: Column | None = None) -> DataFrame:
     """Rows of ``target`` items in order.
@@ -50,10 +29,21 @@ def reflow_rows(items: DataFrame, keys, order, target: int, *, included: Column
     before an item with its own target; excluded items are skipped.
     """
     src = items if included is None else items.filter(included)
-    keep = [c for c in src.columns if c not in keys]
-    src = src.withColumns({"_m": F.lit(True) if measured is None else measured, "_s": F.lit(1.0) if scale is None else scale,
-                           "_o": F.lit(0) if override is None else override})
-    return Ordered(src, keys, order).fold(_Reflow(target, _typed(items, keep)), ["_m", "_s", "_o", *keep])
+    lone = ~F.coalesce(F.lit(True) if measured is None else measured, F.lit(False)) if target else F.lit(True)
+    own = F.coalesce((F.lit(0) if override is None else override).cast("int"), F.lit(0))
+    o = Ordered(src.withColumns({"_lone": lone, "_s": F.lit(1.0) if scale is None else scale, "_o": own}), keys, order)
+    # A stretch starts where its first item asks for it; only its first row can have its own target.
+    o = o.with_columns(_rn=row_number(), _p=lag(F.struct("_lone", "_s")))
+    p = F.col("_p")
+    o = o.columns(_start=F.when(F.col("_lone") | p.isNull() | p["_lone"] | ~p["_s"].eqNullSafe(F.col("_s")) | (F.col("_o") != 0),
+                                F.struct(F.col("_rn").alias("rn"), F.when(F.col("_o") != 0, F.col("_o")).otherwise(target).alias("first"))))
+    o = o.with_columns(_in=last_known("_start"))
+    k, first = F.col("_rn") - F.col("_in")["rn"], F.col("_in")["first"]
+    later = k - first
+    pos = F.when(F.col("_lone"), 1).when(k < first, k + 1).otherwise(later % max(target, 1) + 1)
+    size = F.when(F.col("_lone"), 0).when(k < first, first).otherwise(target)
+    o = o.columns(pos=pos.cast("int"), row_target=size.cast("int")).with_columns(row=running_sum(F.when(F.col("pos") == 1, 1).otherwise(0).cast("bigint")))
+    return o.result.select(*keys, *[c for c in items.columns if c not in keys], "row", "pos", "row_target")
 
 
 def row_width_fraction(rows: DataFrame, keys, row: str, width: str, bars: str, row_target: str, target: int) -> DataFrame:
@@ -71,28 +61,14 @@ def row_width_fraction(rows: DataFrame, keys, row: str, width: str, bars: str, r
     return out.select(*rows.columns, "width_fraction")
 
 
-class _Flush(Fold):
-    """Rows that end at a limit or after a marked item."""
-
-    counters = 1
-
-    def __init__(self, schema):
-        self.schema = f"{schema}, row bigint, pos int"
-
-    def start(self):
-        return 0
-
-    def step(self, core, acc, row, emit):
-        limit, end = row[0], row[1]
-        if core == 0:
-            acc[0] += 1
-        emit(*row[2:], acc[0], core + 1)
-        return 0 if end or (limit and core + 1 == limit) else core + 1
-
-
 def _flush(o: Ordered, limit: Column, end: Column, keep: list[str]) -> DataFrame:
-    schema = _typed(o.df, keep)
-    return o.columns(_limit=limit, _end=end).fold(_Flush(schema), ["_limit", "_end", *keep])
+    """Rows that end at a limit (0: none; the same for a whole key) or after a marked item."""
+    o = o.columns(_limit=F.coalesce(limit.cast("bigint"), F.lit(0).cast("bigint")), _end=F.coalesce(end, F.lit(False))).with_columns(_rn=row_number())
+    o = o.columns(_stop=F.when(F.col("_end"), F.col("_rn"))).with_columns(_from=last_known("_stop", inclusive=False))
+    k = F.col("_rn") - F.coalesce("_from", F.lit(0)) - 1
+    o = o.columns(pos=(F.when(F.col("_limit") > 0, k % F.col("_limit")).otherwise(k) + 1).cast("int"))
+    o = o.with_columns(row=running_sum(F.when(F.col("pos") == 1, 1).otherwise(0).cast("bigint")))
+    return o.result.select(*o.keys, *keep, "row", "pos")
 
 
 def printed_slots(bars: DataFrame, groups: DataFrame, keys, number: str, system_end: str, breaks: DataFrame | None = None,
@@ -177,7 +153,9 @@ def merge_rest_runs(bars: DataFrame, explicit: DataFrame, keys, number: str, met
     c = Ordered(tagged, keys, ["first", "_k", "last"], chunked=o.fewer).columns(_gl=F.when(F.col("_k") == 0, F.col("last")), _gf=F.when(F.col("_k") == 0, F.col("first")))
     c = c.with_columns(_before=running_max("_gl"), _after=next_known("_gf"))
     clear = (F.coalesce("_before", F.lit(-1)) < F.col("first")) & (F.col("_after").isNull() | (F.col("_after") > F.col("last")))
-    taken = c.where((F.col("_k") == 1) & clear).select("first", "last").fold(_Disjoint(), ["first", "last"])
+    taken = c.where((F.col("_k") == 1) & clear).select("first", "last")
+    # Runs are disjoint; stated blocks may overlap, and then the earlier one holds.
+    taken = taken.result.select(*keys, "first", "last") if multirest is None else taken.fold(_Disjoint(), ["first", "last"])
     out = g.select(*keys, "first", "last", "error", F.lit("requested").alias("kind"))
     return out.unionByName(taken.select(*keys, "first", "last", F.lit(None).cast("string").alias("error"), F.lit("found").alias("kind")))
 
@@ -191,41 +169,49 @@ def regroup_kept(lines: DataFrame, keys, order, system_end: str, limit: int, fal
     return _flush(o, F.when(F.col("_any"), 0).otherwise(fallback), F.col(system_end), keep)
 
 
-class _Pages(Fold):
+class _Stack(Fold):
+    """Heights put one below the other; where each starts."""
+
     counters = 1
 
-    def __init__(self, page, schema):
-        self.page = page
-        self.schema = f"{schema}, page bigint, y double, draw_w double, draw_h double"
+    def __init__(self, top: float, below_title: float, floor: float, gap: float, schema: str):
+        self.top, self.below_title, self.floor, self.gap = top, below_title, floor, gap
+        self.schema = f"{schema}, page bigint, y double"
 
     def step(self, core, acc, row, emit):
-        p = self.page
-        w, h, scale, fraction = row[:4]
+        tall = row[0]
+        if tall is None:
+            emit(*row[1:], None, None)
+            return core
         if core is None:
-            core = p["height"] - p["top"] - p["reserve"]
             acc[0] += 1
-        draw_w = p["width"] * fraction
-        draw_h = h * draw_w / w * scale
-        room = p["height"] - p["top"] - p["floor"] - p["reserve"]
-        if draw_h > room:
-            factor = room / draw_h
-            draw_w, draw_h = draw_w * factor, draw_h * factor
-        if core - draw_h < p["floor"]:
+            at = self.below_title
+        else:
+            at = core
+        if at - tall < self.floor:
             acc[0] += 1
-            core = p["height"] - p["top"]
-        emit(*row[4:], acc[0], core, draw_w, draw_h)
-        return core - (draw_h + p["gap"])
+            at = self.top
+        emit(*row[1:], acc[0], at)
+        return at - (tall + self.gap)
 
 
 def page_pack(rows: DataFrame, keys, order, w: str, h: str, page: dict, scale: Column | None = None, fraction: Column | None = None) -> DataFrame:
     """Place rows down the page; a row that would cross the floor starts a new page.
 
     ``page``: width, height, top, floor, gap and the title's reserve on the first page.
+    A row taller than the room is shrunk to it.  A row without a positive width or a
+    height has null places and takes none.
     """
+    top = page["height"] - page["top"]
+    room = top - page["floor"] - page["reserve"]
+    wide, tall = F.col(w).cast("double"), F.col(h).cast("double")
+    full = page["width"] * (F.lit(1.0) if fraction is None else fraction)
+    high = F.when(wide > 0, tall * full / wide * (F.lit(1.0) if scale is None else scale))
+    shrink = F.when(high > room, room / high).otherwise(1.0)
     keep = [c for c in rows.columns if c not in keys and c not in (w, h)]
-    src = rows.withColumns({"_w": F.col(w).cast("double"), "_h": F.col(h).cast("double"), "_s": F.lit(1.0) if scale is None else scale,
-                            "_f": F.lit(1.0) if fraction is None else fraction})
-    return Ordered(src, keys, order).fold(_Pages(page, _typed(rows, keep)), ["_w", "_h", "_s", "_f", *keep])
+    src = rows.withColumns({"draw_h": high * shrink, "draw_w": F.when(high.isNotNull(), full * shrink)})
+    fold = _Stack(top, top - page["reserve"], page["floor"], page["gap"], f"{_typed(rows, keep)}, draw_w double, draw_h double" if keep else "draw_w double, draw_h double")
+    return Ordered(src, keys, order).fold(fold, ["draw_h", *keep, "draw_w", "draw_h"])
 
 
 def fixed_rows_per_page(rows: DataFrame, keys, order, height: float) -> DataFrame:
@@ -306,16 +292,19 @@ def beam_groups(events: DataFrame, keys, order, onset: str, duration: str, has_n
 
 
 def score_timeline(events: DataFrame, keys, pos: str, onset: str, duration: str, staff: str, voice: str, has_notes: Column) -> DataFrame:
-    """Written order of a bar: forward gaps, notes and rests per voice, and backups between voices."""
+    """Written order of a bar: forward gaps, notes and rests per voice, and backups between voices.
+
+    The cursor is the furthest end so far, so a short event after a long one makes no gap.
+    """
     by = [*keys, staff, voice]
     o = Ordered(events, by, [onset, pos]).columns(_end=F.col(onset) + F.col(duration))
-    o = o.with_columns(_cursor=lag("_end"), _last=lead(pos))
+    o = o.with_columns(_cursor=running_max("_end", inclusive=False), _furthest=running_max("_end"), _last=lead(pos))
     cursor = F.coalesce("_cursor", F.lit(0.0))
     units = lambda c: F.rint(c * DIVISIONS).cast("bigint")
     gap = F.when(F.col(onset) > cursor + 0.001, F.struct(F.lit("forward").alias("kind"), units(F.col(onset) - cursor).alias("divisions")))
     body = F.struct(F.when(has_notes, "note").otherwise("rest").alias("kind"), units(F.col(duration)).alias("divisions"))
     parts = o.result.select(*by, F.col(pos).cast("bigint").alias("pos"), unfold(F.array_compact(F.array(gap, body))).alias("_e")).select(*by, "pos", "_e.*")
-    ends = o.result.filter("_last is null").select(*by, F.col("_end"))
+    ends = o.result.filter("_last is null").select(*by, F.col("_furthest").alias("_end"))
     v = Ordered(ends, keys, [staff, voice], chunked=False if keys and not o.chunked else None).with_columns(_len=lag("_end"))
     back = v.result.filter("_len > 0").select(*by, F.lit(0).cast("bigint").alias("pos"), F.lit("backup").alias("kind"), units(F.col("_len")).alias("divisions"))
     return parts.unionByName(back)

@@ -74,13 +74,18 @@ def verify_numbering(df: DataFrame, keys, order: list[str], x: str, label: str,
     return plain.unionByName(new.select(*keys, F.col("_s.p").alias("x"), F.col("_s.n").alias("number"), F.lit(True).alias("inferred")))
 
 
-def propagate_by_width(df: DataFrame, keys, x: str, number: str, widths: DataFrame, width_keys: list[str], rounds: int = 3) -> DataFrame:
-    """Number a boundary beside a numbered one when the known width between them fits."""
+def propagate_by_width(df: DataFrame, keys, x: str, number: str, widths: DataFrame, width_keys: list[str], rounds: int | None = None) -> DataFrame:
+    """Number a boundary beside a numbered one when the known width between them fits.
+
+    Repeated until nothing changes, or ``rounds`` times.
+    """
     wd = widths.select(*width_keys, F.col("number").cast("bigint").alias("_wn"), F.col("width").cast("double").alias("_w"))
     wd = runtime.small(wd)
     cur = df
     o = Ordered(cur, keys, [x])
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         d = o.df
         for name, of in (("_own", F.col(number)), ("_prev", F.col(number) - 1)):
             w = wd.withColumnRenamed("_w", name)
@@ -91,9 +96,13 @@ def propagate_by_width(df: DataFrame, keys, x: str, number: str, widths: DataFra
         fits = lambda gap, w: F.abs(gap - w) <= F.greatest(F.lit(4.0), w * 0.02)
         from_left = F.when(fits(F.col(x) - l["x"], l["w"]), l["n"] + 1)
         from_right = F.when((r["n"] > 1) & fits(r["x"] - F.col(x), r["w"]), r["n"] - 1)
-        o = o.columns(**{number: F.coalesce(F.col(number), from_left, from_right)})
-        o = o._same(o.df.drop("_own", "_prev", "_l", "_r"))
-    return o.result
+        o = o.columns(_had=F.col(number), **{number: F.coalesce(F.col(number), from_left, from_right)})
+        if rounds is None:
+            o = o._same(runtime.checkpoint(o.df))
+            if o.df.filter(F.col("_had").isNull() & F.col(number).isNotNull()).isEmpty():
+                break
+        o = o._same(o.df.drop("_own", "_prev", "_l", "_r", "_had"))
+    return o._same(o.df.drop("_own", "_prev", "_l", "_r", "_had")).result
 
 
 class _Clusters(Fold):
@@ -103,23 +112,29 @@ class _Clusters(Fold):
         self.schema = f"{schema}, cluster double"
 
     def start(self):
-        return ()
+        return []
 
     def step(self, core, acc, row, emit):
+        # Changed in place: the state never leaves the task.
         width = row[0]
         for w in core:
             if abs(w - width) <= max(3.0, width * 0.02):
                 emit(*row[1:], w)
                 return core
         emit(*row[1:], width)
-        return (*core, width)
+        core.append(width)
+        return core
 
 
 def width_consensus(df: DataFrame, keys, number: str, width: str, order: list[str], least: int = 2) -> DataFrame:
-    """Most observed width of each number; the earliest of equals, trusted when seen ``least`` times."""
+    """Most observed width of each number; the earliest of equals, trusted when seen ``least`` times.
+
+    A width joins the first earlier one close to it, which depends on all that came before:
+    a number is read in order by one task, which keeps its distinct widths.
+    """
     by = [*keys, number]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
-    c = Ordered(df.withColumn("_w", F.col(width).cast("double")), by, order).fold(_Clusters(schema), ["_w", *order])
+    c = Ordered(df.withColumn("_w", F.col(width).cast("double")), by, order, chunked=False).fold(_Clusters(schema), ["_w", *order])
     g = c.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*order)).alias("_first"))
     out = best(g, by, [-F.col("count"), "_first"])
     return out.select(*by, F.col("cluster").alias("width"), "count", (F.col("count") >= least).alias("trusted"))

@@ -137,11 +137,8 @@ def bar_issues(bars: DataFrame, events: DataFrame, keys, instrument: str, string
             F.lit(2).alias("stage"), F.col("pos").alias("pos"), (i + 2).alias("sub"), t.alias("issue"))),
         at(4, F.col("_first"), (gap, F.concat(F.lit("Gap or overlap"), label)), (short, F.concat(F.lit("Incomplete rhythm"), label)))).alias("_i"))
     out = whole.unionByName(own).select(*keys, unfold("_i").alias("_i")).filter("_i is not null").select(*keys, "_i.*")
-    # The place of a problem as one number keeps the aggregate in hashed primitive buffers.
-    place = F.shiftleft(F.col("stage").cast("bigint"), 56) + F.shiftleft("pos", 16) + F.col("sub")
-    out = out.groupBy(*keys, "issue").agg(F.min(place).alias("_o"))
-    return out.select(*keys, "issue", F.shiftright("_o", 56).cast("int").alias("stage"),
-                      F.shiftright("_o", 16).bitwiseAND(F.lit((1 << 40) - 1)).alias("pos"), F.col("_o").bitwiseAND(F.lit(65535)).cast("int").alias("sub"))
+    out = out.groupBy(*keys, "issue").agg(F.min(F.struct(F.col("stage").cast("int").alias("stage"), F.col("pos").cast("bigint").alias("pos"), F.col("sub").cast("int").alias("sub"))).alias("_o"))
+    return out.select(*keys, "issue", "_o.*")
 
 
 def needs_review(issues: DataFrame, keys, ignore: list[str] = ENGRAVING_LIMITS) -> DataFrame:

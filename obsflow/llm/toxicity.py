@@ -34,11 +34,11 @@ BEGINNINGS = (4, 5, 6)
 _CACHE = 400_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
-# In chain order, from columns of the labels.
+# In chain order, as conditions on the labels.
 CATEGORIES = {
-    "abusive_prose": (F.col("toxic") == 1) & F.coalesce(F.col("quality") == 1, F.lit(False)),
-    "abusive_junk": (F.col("toxic") == 1) & F.coalesce(F.col("quality") == 0, F.lit(False)),
-    "toxic": F.col("toxic") == 1,
+    "abusive_prose": "toxic = 1 and coalesce(quality = 1, false)",
+    "abusive_junk": "toxic = 1 and coalesce(quality = 0, false)",
+    "toxic": "toxic = 1",
 }
 
 
@@ -95,11 +95,11 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarra
     return models
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text",
           sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, int], list[np.ndarray]]:
     """Feature numbers and the models of the chain.  Labels with a null in all categories do not count."""
-    marks = [F.coalesce(c, F.lit(False)).alias(f"y{i}") for i, c in enumerate(categories.values())]
-    seen = reduce(lambda a, b: a | b, [c.isNotNull() for c in categories.values()])
+    marks = [F.coalesce(F.expr(c), F.lit(False)).alias(f"y{i}") for i, c in enumerate(categories.values())]
+    seen = reduce(lambda a, b: a | b, [F.expr(c).isNotNull() for c in categories.values()])
     picked = (labels.filter(seen & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), *marks)
               .orderBy(F.xxhash64("doc_id"), "doc_id", *[f"y{i}" for i in range(len(marks))]).limit(sample))
     ys = [f"y{i}" for i in range(len(marks))]
@@ -192,7 +192,7 @@ def probabilities(text: Column, index: dict[str, int], models: list[np.ndarray])
     return run(text)
 
 
-def scored(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
+def scored(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
            threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, a probability ``p_<category>`` for each category, and ``rejected`` (the last one is above the threshold), of every row.
 
@@ -209,7 +209,7 @@ def _rejected(p: Column, index: dict[str, int], models: list[np.ndarray], thresh
     return F.coalesce(F.get(p, len(models) - 1) > threshold, F.lit(False)) if index else F.lit(False)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
+def without_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that ``scored`` does not reject, with all their columns."""
     index, models = train(docs, labels, categories or CATEGORIES, id_col, text_col, sample)

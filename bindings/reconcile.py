@@ -110,6 +110,20 @@ def _(spark, sf):
     return r.needs_review(r.bar_issues(*bars(spark, sf), ["l_orderkey", "l_linenumber"], "bass"), ["l_orderkey", "l_linenumber"])
 
 
+@query("score_bar_problems", ISSUES + """, sc AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 6 ELSE 0 END AS hi FROM orders),
+x AS (SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS c FROM lineitem GROUP BY ALL),
+m AS (SELECT k, CASE WHEN hi > 0 THEN hi ELSE max(n) END AS top FROM sc JOIN x USING (k) GROUP BY k, hi)
+SELECT k, 'Duplicate measure numbers' AS issue, CAST(n AS BIGINT) AS number FROM x JOIN sc USING (k) WHERE c > 1
+UNION ALL (SELECT k, 'Missing bars', unnest(range(2, top + 1)) AS q FROM m EXCEPT SELECT k, 'Missing bars', n FROM x)
+UNION ALL SELECT k, 'No measures transcribed', NULL FROM sc WHERE k NOT IN (SELECT k FROM x)
+UNION ALL SELECT l_orderkey, 'Bar ' || l_linenumber || ': ' || issue, l_linenumber FROM u""")
+def _(spark, sf):
+    sc = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(2).alias("lo"), F.when(F.col("o_orderstatus") == "F", 6).otherwise(0).alias("hi"))
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    own = r.bar_issues(*bars(spark, sf), ["l_orderkey", "l_linenumber"], "bass").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "issue")
+    return r.score_issues(b, sc, ["k"], "n", "lo", "hi", own).withColumnsRenamed({"n": "number"})
+
+
 @query("score_issues", """WITH sc AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 6 ELSE 0 END AS hi FROM orders),
 x AS (SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS c FROM lineitem GROUP BY ALL),
 m AS (SELECT k, CASE WHEN hi > 0 THEN hi ELSE max(n) END AS top FROM sc JOIN x USING (k) GROUP BY k, hi)
@@ -134,6 +148,14 @@ def _(spark, sf):
     return r.tie_and_sum_check(e, ["l_orderkey"], "l_linenumber", ORD, "l_quantity", "l_returnflag", "l_linestatus", "mk", 40.0)
 
 
+@query("expand_shorthand", """WITH w AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS f, unnest(range(len(ws))) AS i, len(ws) AS n FROM w)
+SELECT doc_id, string_agg('E' || f || ':.5:' || CASE WHEN i = 0 THEN 'i' WHEN i = n - 1 THEN 'o' ELSE '' END, ' ' ORDER BY i) AS tokens FROM t GROUP BY doc_id""")
+def _(spark, sf):
+    frets = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
+    return table(spark, sf, "documents").select("doc_id", r.expand_shorthand(F.lit("E"), frets, F.lit("i"), F.lit("o")).alias("tokens"))
+
+
 @query("tokenize_events", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[ \n]+', ':1.5 ', 'g'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, i - 1 AS pos, string_split(ws[i], ':') AS p FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i))
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN p[1] <> 'R' THEN substr(p[1], 1, 1) END AS string, CASE WHEN p[1] <> 'R' THEN substr(p[1], 2) END AS fret,

@@ -45,14 +45,46 @@ def _(spark, sf):
     return s.parse_projects(documents(spark, sf), ["conv_id", "turn"], "json")[2]
 
 
-@query("write_projects", "WITH " + LI + """, l AS (SELECT l_orderkey, seq, CASE WHEN seq = 1 THEN '' ELSE ',' END || '{"seq":' || seq || ',"path":"' || l_partkey || '.png","view":' || l_linenumber || '}' AS t, (seq - 1) // 3 + 1 AS part FROM li JOIN orders ON o_orderkey = l_orderkey)
-SELECT l_orderkey, CAST(part AS BIGINT) AS part, string_agg(t, '' ORDER BY seq) AS text FROM l GROUP BY ALL
-UNION ALL SELECT o_orderkey, 0, '{"version":1,"title":"' || o_orderpriority || '","lines":[' FROM orders UNION ALL SELECT o_orderkey, 9223372036854775807, ']}' FROM orders""")
+def written(spark, df, *by):
+    """One text file for each row, in folders named after ``by``, as other programs leave them."""
+    folder = runtime.work_folder(spark)
+    df.write.partitionBy(*by).text(folder)
+    return folder
+
+
+@query("read_projects_files", "WITH " + OK + """ SELECT conv_id, turn, CAST(i AS INTEGER) AS seq, 'line_' || i || '.png' AS path, NOT length(ls[i + 1]) > 200 AS included, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM cv WHERE error IS NULL), LATERAL (SELECT unnest(range(0, len(ls))) AS i)
+UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, error FROM cv WHERE error IS NOT NULL""")
 def _(spark, sf):
+    folder = written(spark, documents(spark, sf).select("conv_id", "turn", F.col("json").alias("value")), "conv_id", "turn")
+    _, lines, errors = s.read_projects(spark, folder + "/*/*")
+    key = [F.regexp_extract("path_key", f"{k}=([0-9]+)", 1).cast("bigint").alias(k) for k in ("conv_id", "turn")]
+    none = F.lit(None)
+    return lines.select(*key, "seq", "path", "included", none.cast("string").alias("error")).unionByName(
+        errors.select(*key, none.cast("int").alias("seq"), none.cast("string").alias("path"), none.cast("boolean").alias("included"), "error"))
+
+
+def project_tables(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("title"))
     l = Ordered(table(spark, sf, "lineitem"), ["l_orderkey"], LINE_ORDER).with_columns(seq=row_number()).result
-    l = l.select("l_orderkey", "seq", F.concat(F.col("l_partkey").cast("string"), F.lit(".png")).alias("path"), F.col("l_linenumber").alias("view"))
-    return s.project_parts(o, l, ["l_orderkey"], ["seq"], 3)
+    return o, l.select("l_orderkey", "seq", F.concat(F.col("l_partkey").cast("string"), F.lit(".png")).alias("path"), F.col("l_linenumber").alias("view"))
+
+
+WRITTEN = "WITH " + LI + """, l AS (SELECT l_orderkey, seq, CASE WHEN seq = 1 THEN '' ELSE ',' END || '{"seq":' || seq || ',"path":"' || l_partkey || '.png","view":' || l_linenumber || '}' AS t, (seq - 1) // 3 + 1 AS part FROM li JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, CAST(part AS BIGINT) AS part, string_agg(t, '' ORDER BY seq) AS text FROM l GROUP BY ALL
+UNION ALL SELECT o_orderkey, 0, '{"version":1,"title":"' || o_orderpriority || '","lines":[' FROM orders UNION ALL SELECT o_orderkey, 9223372036854775807, ']}' FROM orders"""
+
+
+@query("write_projects", WRITTEN)
+def _(spark, sf):
+    return s.project_parts(*project_tables(spark, sf), ["l_orderkey"], ["seq"], 3)
+
+
+@query("write_projects_files", WRITTEN)
+def _(spark, sf):
+    folder = runtime.work_folder(spark)
+    s.write_projects(*project_tables(spark, sf), folder, ["l_orderkey"], ["seq"], 3)
+    return spark.read.parquet(folder)
 
 
 @query("bundle_check", r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS sch, regexp_extract(url, '/(en|fr|es|de)/', 1) AS b, regexp_extract(url, '/(?:en|fr|es|de)/([0-9]+)', 1) AS num, length(html) AS sz FROM pages),
@@ -69,14 +101,27 @@ def _(spark, sf):
     return s.bundle_check(m, p.select("b", png.alias("entry")), ["b"], "entry", "sz", 100000, 60)
 
 
-@query("usage_snapshots", """SELECT conv_id::VARCHAR AS job, CAST(coalesce(max(CASE WHEN role = 'assistant' AND length(text) % 7 > 0 THEN len(string_split(text, chr(10))) END), 0) AS INTEGER) AS saved_bars,
- bool_or(role = 'system') AS finished, bool_or(role = 'user' AND turn > 4) AS cancelled FROM conversations GROUP BY 1""")
-def _(spark, sf):
+JOBS = """SELECT conv_id::VARCHAR AS job, CAST(coalesce(max(CASE WHEN role = 'assistant' AND length(text) % 7 > 0 THEN len(string_split(text, chr(10))) END), 0) AS INTEGER) AS saved_bars,
+ bool_or(role = 'system') AS finished, bool_or(role = 'user' AND turn > 4) AS cancelled FROM conversations GROUP BY 1"""
+
+
+def job_files(spark, sf):
     c = table(spark, sf, "conversations")
     name = F.when(F.col("role") == "assistant", "checkpoint.json").when(F.col("role") == "system", "review.json").when(F.col("turn") > 4, "cancelled-draft.aiscore.json").otherwise("notes.txt")
     js = F.to_json(F.struct(F.split("text", "\n").alias("bars")))
     text = F.when(F.length("text") % 7 > 0, js).otherwise(F.substring(js, 1, 8))
-    return s.snapshots_of(c.select(F.col("conv_id").cast("string").alias("job"), name.alias("name"), text.alias("text")))
+    return c.select(F.col("conv_id").cast("string").alias("job"), name.alias("name"), text.alias("text"), "turn")
+
+
+@query("usage_snapshots", JOBS)
+def _(spark, sf):
+    return s.snapshots_of(job_files(spark, sf).drop("turn"))
+
+
+@query("usage_snapshots_files", JOBS)
+def _(spark, sf):
+    folder = written(spark, job_files(spark, sf).withColumnRenamed("text", "value"), "job", "name", "turn")
+    return s.usage_snapshots(spark, folder + "/*/*/*", pattern="job=([^/]+)/name=([^/]+)/").drop("observed_at")
 
 
 @query("append_captures", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, 0 AS view FROM events")

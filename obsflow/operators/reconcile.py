@@ -168,10 +168,12 @@ def missing_numbers(bars: DataFrame, keys, number: str, first: Column | None = N
     return gaps
 
 
-def score_issues(bars: DataFrame, scores: DataFrame, keys, number: str, first: str, last: str) -> DataFrame:
+def score_issues(bars: DataFrame, scores: DataFrame, keys, number: str, first: str, last: str, own: DataFrame | None = None) -> DataFrame:
     """Duplicate and missing numbers of each score, and scores without bars.
 
     ``scores`` has one row per score with its known range; a last number of 0 is unknown.
+    ``own`` (keys, number, issue) are the problems of single bars, as ``bar_issues`` gives
+    them; they are listed with the bar's number in front.
     """
     dup = bars.groupBy(*keys, number).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     dup = dup.select(*keys, F.lit("Duplicate measure numbers").alias("issue"), F.col(number).cast("bigint").alias("number"))
@@ -179,7 +181,11 @@ def score_issues(bars: DataFrame, scores: DataFrame, keys, number: str, first: s
     miss = missing_numbers(b, keys, number, F.col(first), F.when(F.col(last) > 0, F.col(last)))
     miss = miss.select(*keys, F.lit("Missing bars").alias("issue"), F.col("missing").alias("number"))
     empty = scores.join(bars.select(*keys), keys, "left_anti").select(*keys, F.lit("No measures transcribed").alias("issue"), F.lit(None).cast("bigint").alias("number"))
-    return dup.unionByName(miss).unionByName(empty)
+    out = dup.unionByName(miss).unionByName(empty)
+    if own is None:
+        return out
+    at = F.col(number).cast("bigint")
+    return out.unionByName(own.select(*keys, F.concat(F.lit("Bar "), at.cast("string"), F.lit(": "), F.col("issue")).alias("issue"), at.alias("number")))
 
 
 def tie_and_sum_check(events: DataFrame, keys, bar: str, pos: list[str], duration: str, string: str, fret: str, marks: str, beats=4.0) -> DataFrame:

@@ -88,24 +88,26 @@ def range_rules(df: DataFrame, keys, fields: list[str], rules=LIMITS) -> DataFra
 def schema_check(df: DataFrame, keys, json: str, schema: dict, path: str = "response") -> DataFrame:
     """Differences between JSON values and a closed schema, one row per path.
 
-    ``schema`` nests {type, properties, items, enum}.  The walk goes one level at a time; a
-    value of the wrong type is reported and not entered.
+    ``schema`` nests {type, properties, items, enum}.  A value of the wrong type is reported
+    and not entered.  Texts are parsed once; the problems of a text are one array.
     """
-    rows = df.select(*keys, F.lit(path).alias("path"), F.try_parse_json(json).alias("v"), F.col(json).alias("_raw"))
-    out = [rows.filter(F.col("v").isNull()).select(*keys, "path", F.lit("malformed").alias("issue"))]
-    _walk(rows.filter(F.col("v").isNotNull()).drop("_raw"), keys, schema, out)
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    rows = df.select(*keys, F.try_parse_json(json).alias("_v"))
+    found = F.when(F.col("_v").isNull(), F.array(_problem(F.lit(path), F.lit("malformed")))).otherwise(_problems(F.col("_v"), F.lit(path), schema))
+    return rows.select(*keys, F.explode(found).alias("_p")).select(*keys, "_p.*")
 
 
 _KINDS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN"}
+_NONE = "array<struct<path:string,issue:string>>"
 
 
-def _walk(rows: DataFrame, keys, schema: dict, out: list[DataFrame]) -> None:
+def _problem(path: Column, issue: Column) -> Column:
+    return F.struct(path.alias("path"), issue.alias("issue"))
+
+
+def _problems(v: Column, path: Column, schema: dict) -> Column:
+    """Problems of one value and of what it holds."""
     kind = schema["type"]
-    actual = F.schema_of_variant("v")
+    actual = F.schema_of_variant(v)
     whole = (actual == "BIGINT") | actual.rlike(r"^DECIMAL\(\d+,0\)$")
     if kind == "number":
         ok = (actual == "BIGINT") | F.startswith(actual, F.lit("DECIMAL")) | actual.isin("DOUBLE", "FLOAT")
@@ -113,24 +115,22 @@ def _walk(rows: DataFrame, keys, schema: dict, out: list[DataFrame]) -> None:
         ok = whole
     else:
         ok = F.startswith(actual, F.lit(_KINDS[kind]))
-    rows = rows.withColumn("_ok", ok)
-    issue = F.when(~F.col("_ok"), F.lit(f"expected {kind}"))
+    none = F.array().cast(_NONE)
+    one = lambda cond, issue: F.when(cond, F.array(_problem(path, F.lit(issue)))).otherwise(none)
+    parts = [one(~F.coalesce(ok, F.lit(False)), f"expected {kind}")]
     if "enum" in schema:
-        issue = issue.when(~F.col("v").cast("string").isin(schema["enum"]), "unsupported value")
-    if kind == "object":
-        want = sorted(schema["properties"])
-        have = F.array_sort(F.json_object_keys(F.to_json("v")))
-        issue = issue.when(have != F.array(*[F.lit(k) for k in want]), "missing or unexpected fields")
-    out.append(rows.select(*keys, "path", issue.alias("issue")).filter("issue is not null"))
-    good = rows.filter("_ok").drop("_ok")
+        parts.append(F.when(ok, one(~v.cast("string").isin(schema["enum"]), "unsupported value")).otherwise(none))
     if kind == "object":
+        have = F.array_sort(F.json_object_keys(F.to_json(v)))
+        inner = [one(have != F.array(*[F.lit(k) for k in sorted(schema["properties"])]), "missing or unexpected fields")]
         for key, child in schema["properties"].items():
-            sub = good.select(*keys, F.concat("path", F.lit(f".{key}")).alias("path"), F.try_variant_get("v", f"$.{key}", "variant").alias("v"))
-            _walk(sub.filter(F.col("v").isNotNull()), keys, child, out)
+            sub = F.try_variant_get(v, f"$.{key}", "variant")
+            inner.append(F.when(sub.isNotNull(), _problems(sub, F.concat(path, F.lit(f".{key}")), child)).otherwise(none))
+        parts.append(F.when(ok, F.concat(*inner)).otherwise(none))
     elif kind == "array":
-        sub = good.select(*keys, "path", F.posexplode(F.col("v").cast("array<variant>")).alias("_i", "v"))
-        sub = sub.select(*keys, F.concat("path", F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("path"), "v")
-        _walk(sub, keys, schema["items"], out)
+        each = F.transform(v.cast("array<variant>"), lambda x, i: _problems(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"]))
+        parts.append(F.when(ok, F.coalesce(F.flatten(each), none)).otherwise(none))
+    return F.concat(*parts)
 
 
 def compact(notes: Column, instrument: str) -> Column:

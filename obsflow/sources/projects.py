@@ -68,9 +68,12 @@ def project_parts(projects: DataFrame, lines: DataFrame, keys: list[str], order:
 
 
 def write_projects(projects: DataFrame, lines: DataFrame, path: str, keys: list[str], order: list[str], per_part: int = 1000) -> None:
-    """Write document parts as text, spread over tasks by project and part."""
+    """Write document parts as text, spread over tasks by project and part.
+
+    Parts in order are the document; a project is not kept together.
+    """
     parts = project_parts(projects, lines, keys, order, per_part)
-    parts.repartition(*keys).sortWithinPartitions(*keys, "part").write.mode("overwrite").parquet(path)
+    parts.repartition(*keys, "part").sortWithinPartitions(*keys, "part").write.mode("overwrite").parquet(path)
 
 
 def bundle_check(manifest: DataFrame, references: DataFrame, keys: list[str], entry: str, size: str, max_bytes: int = MAX_BYTES,
@@ -101,14 +104,17 @@ def snapshots_of(files: DataFrame) -> DataFrame:
                                     F.bool_or(F.col("name") == "cancelled-draft.aiscore.json").alias("cancelled"))
 
 
-def usage_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Snapshots of a directory of job folders; as a stream, one row per new file version."""
+def usage_snapshots(spark: SparkSession, path: str, streaming: bool = False, pattern: str = r"([^/]+)/([^/]+)$") -> DataFrame:
+    """Snapshots of a directory of job folders; as a stream, one row per new file version.
+
+    ``pattern`` finds the job and the file's name in a path.
+    """
     if streaming:
         raw = spark.readStream.schema("value string").option("wholetext", True).text(path)
     else:
         raw = spark.read.text(path, wholetext=True)
-    p = F.split(F.col("_metadata.file_path"), "/")
-    files = raw.select(F.element_at(p, -2).alias("job"), F.element_at(p, -1).alias("name"), F.col("value").alias("text"),
+    p = F.col("_metadata.file_path")
+    files = raw.select(F.regexp_extract(p, pattern, 1).alias("job"), F.regexp_extract(p, pattern, 2).alias("name"), F.col("value").alias("text"),
                        F.col("_metadata.file_modification_time").alias("observed_at"))
     if streaming:
         saved = F.size(F.from_json("text", CHECKPOINT, {"mode": "PERMISSIVE"})["bars"])

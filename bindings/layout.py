@@ -187,6 +187,38 @@ def _(spark, sf):
     return y.score_timeline(d, ORDER, "seq", "onset", "dur", "st", "vo", F.col("l_returnflag") != "R")
 
 
+@query("score_timeline_grace", "WITH " + LI + """, d AS (SELECT l_orderkey, seq, l_linestatus AS st, floor(l_linenumber / 3.0)::DOUBLE AS onset, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_quantity / 16 END AS dur, l_returnflag = 'A' AS gr, l_tax > 0.02 AS nt FROM li),
+n AS (SELECT *, coalesce(max(onset + dur) OVER (PARTITION BY l_orderkey, st ORDER BY onset, gr DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM d),
+b AS (SELECT l_orderkey, st, lag(max(onset + dur)) OVER (PARTITION BY l_orderkey ORDER BY st) AS pl FROM n GROUP BY l_orderkey, st)
+SELECT l_orderkey, st, 1 AS vo, seq AS pos, 'forward' AS kind, CAST(round_even((onset - cur) * 960, 0) AS BIGINT) AS divisions FROM n WHERE onset > cur + 0.001
+UNION ALL SELECT l_orderkey, st, 1, seq, CASE WHEN nt THEN 'note' ELSE 'rest' END, CAST(round_even(dur * 960, 0) AS BIGINT) FROM n
+UNION ALL SELECT l_orderkey, st, 1, 0, 'backup', CAST(round_even(pl * 960, 0) AS BIGINT) FROM b WHERE pl > 0""")
+def _(spark, sf):
+    d = items(spark, sf).select("l_orderkey", "seq", F.col("l_linestatus").alias("st"), F.lit(1).alias("vo"), F.floor(F.col("l_linenumber") / 3).cast("double").alias("onset"),
+                                (F.col("l_quantity") / 16).alias("dur"), "l_returnflag", "l_tax")
+    return y.score_timeline(d, ORDER, "seq", "onset", "dur", "st", "vo", F.col("l_tax") > 0.02, F.col("l_returnflag") == "A")
+
+
+@query("timeline_directions", """WITH b AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS INTEGER) // 10 AS t FROM lineitem GROUP BY ALL),
+k AS (SELECT *, last_value(nullif(t, 0) IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM b)
+SELECT l_orderkey, l_linenumber, 'tempo' AS kind, NULL::DOUBLE AS onset, t::VARCHAR AS text FROM k WHERE t > 0 AND t IS DISTINCT FROM was
+UNION ALL SELECT DISTINCT l_orderkey, l_linenumber, 'words', floor(l_quantity / 20), l_linestatus FROM lineitem WHERE l_returnflag <> 'A'""")
+def _(spark, sf):
+    l = table(spark, sf, "lineitem")
+    b = l.groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.max("l_quantity").cast("int") / 10).alias("t"))
+    e = l.withColumn("onset", F.floor(F.col("l_quantity") / 20).cast("double"))
+    return y.timeline_directions(b, e, ORDER, ["l_linenumber"], ["l_linenumber"], "t", "onset", ["l_partkey", "l_suppkey"], "l_linestatus", F.col("l_returnflag") == "A")
+
+
+@query("printed_rows", SLOTS + """, ls AS (SELECT DISTINCT l_orderkey, l_partkey % 3 AS r, l_linenumber AS p FROM lineitem WHERE l_linenumber <> 4),
+x AS (SELECT ls.l_orderkey, r, p, f, l, dense_rank() OVER (PARTITION BY ls.l_orderkey ORDER BY r) AS rw FROM ls JOIN sl ON sl.l_orderkey = ls.l_orderkey AND sl.f = ls.p)
+SELECT l_orderkey, CAST(f AS BIGINT) AS first, CAST(l AS BIGINT) AS last, CAST(rw AS BIGINT) AS row, CAST(row_number() OVER (PARTITION BY l_orderkey, rw ORDER BY p) AS INTEGER) AS pos FROM x""")
+def _(spark, sf):
+    b, g = rest_groups(spark, sf)
+    listed = table(spark, sf, "lineitem").filter("l_linenumber <> 4").select("l_orderkey", (F.col("l_partkey") % 3).alias("row"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").alias("number")).distinct()
+    return y.printed_slots(b, g.filter("error is null"), ORDER, "n", "en", print_rows=listed)
+
+
 REQ = """rq AS (SELECT conv_id, turn, role, length(text) AS ti, CAST(length(text) // 3 * turn AS BIGINT) AS tc, CAST(length(text) // 2 AS BIGINT) AS tq, length(text) % 11 = 0 AS sub FROM conversations),
 rc AS (SELECT rq.*, r_in, r_cached, r_out, CASE WHEN sub THEN 0.0::DOUBLE ELSE ((ti - least(ti, tc)) * r_in + least(ti, tc) * r_cached + tq * r_out) / 1e6 END AS usd FROM rq LEFT JOIN rt USING (role))"""
 

@@ -64,6 +64,26 @@ def _(spark, sf):
     return n.propagate_by_width(d, ORDER, "x", "number", widths(spark), []).select("l_orderkey", "x", "number")
 
 
+@query("fill_boundaries", "WITH " + BOUNDS + """, wd(num, w) AS (VALUES (1, 210.0::DOUBLE), (2, 210.0), (3, 105.0), (5, 210.0), (6, 230.0)),
+sn AS (SELECT DISTINCT o_orderkey AS l_orderkey, CAST(o_custkey % 8 AS BIGINT) AS number FROM orders),
+p AS (SELECT bd.l_orderkey, i, x, n, lag(n) OVER w + 1 AS fl, lead(n) OVER w - 1 AS fr, lead(n) OVER w AS nn FROM bd WINDOW w AS (PARTITION BY l_orderkey ORDER BY i)),
+f AS (SELECT p.l_orderkey, i, x, coalesce(n, CASE WHEN a.number IS NOT NULL OR i % 4 = 0 THEN fl END, CASE WHEN b.number IS NOT NULL THEN fr END, CASE WHEN i = 1 AND nn = 2 AND x < 260 THEN 1 END) AS n
+ FROM p LEFT JOIN sn a ON a.l_orderkey = p.l_orderkey AND a.number = fl LEFT JOIN sn b ON b.l_orderkey = p.l_orderkey AND b.number = fr),
+g AS (SELECT f.*, o.w AS own, v.w AS prev FROM f LEFT JOIN wd o ON o.num = f.n LEFT JOIN wd v ON v.num = f.n - 1),
+h AS (SELECT *, lag(x + own) OVER w AS ta, lag(n) OVER w AS na, lead(x - prev) OVER w AS tb, lead(n) OVER w AS nb, lead(x) OVER w AS xb, lag(x) OVER w AS xa FROM g WINDOW w AS (PARTITION BY l_orderkey ORDER BY i))
+SELECT l_orderkey, x, CAST(coalesce(n, CASE WHEN abs(ta - x) < 4 THEN na + 1 END, CASE WHEN abs(tb - x) < 4 AND nb > 1 THEN nb - 1 END) AS BIGINT) AS number, false AS inferred FROM h
+UNION ALL SELECT l_orderkey, round_even(x + own, 0), n + 1, true FROM h WHERE x + own BETWEEN 0 AND 1299.999 AND (xb IS NULL OR x + own <= xb - 4)
+UNION ALL SELECT l_orderkey, round_even(tb, 0), nb - 1, true FROM h WHERE tb >= x + 4 AND tb < 1300 AND nb > 1 AND NOT coalesce(x + own BETWEEN 0 AND 1299.999 AND x + own <= xb - 4, false)
+UNION ALL SELECT l_orderkey, round_even(x - prev, 0), n - 1, true FROM h WHERE xa IS NULL AND x - prev >= 0 AND n > 1""")
+def _(spark, sf):
+    from obsflow.plans.ordered import Ordered, row_number
+    d = boundaries(spark, sf).select("l_orderkey", "x", F.col("label").cast("bigint").alias("number"))
+    d = Ordered(d, ORDER, ["x"]).with_columns(i=row_number()).result
+    w = spark.createDataFrame([(1, 210.0), (2, 210.0), (3, 105.0), (5, 210.0), (6, 230.0)], "number int, width double")
+    seen = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 8).alias("number"))
+    return n.fill_boundaries(d, ORDER, "x", "number", w, [], 1300.0, seen=seen, double=F.col("i") % 4 == 0, opening=F.lit(True))
+
+
 @query("width_consensus", """WITH RECURSIVE s AS (SELECT l_partkey AS number, l_quantity AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS i FROM lineitem),
 f AS (SELECT number, i, w AS c, [w] AS cs FROM s WHERE i = 1
  UNION ALL SELECT s.number, s.i, coalesce(hit, s.w), CASE WHEN hit IS NULL THEN list_append(cs, s.w) ELSE cs END FROM f JOIN s ON s.number = f.number AND s.i = f.i + 1,

@@ -72,11 +72,14 @@ def _flush(o: Ordered, limit: Column, end: Column, keep: list[str]) -> DataFrame
 
 
 def printed_slots(bars: DataFrame, groups: DataFrame, keys, number: str, system_end: str, breaks: DataFrame | None = None,
-                  bars_per_line: int = 0, source_per_line: int = 4) -> DataFrame:
+                  bars_per_line: int = 0, source_per_line: int = 4, print_rows: DataFrame | None = None) -> DataFrame:
     """Printed rows of slots; a merged rest block is one slot.
 
     ``groups``: keys, first, last of merged blocks.  Rows follow the source's line ends
     unless ``bars_per_line`` overrides them; ``breaks`` (keys, number) always end a row.
+    ``print_rows`` (keys, row, pos, number), when given, states the rows: slots that start
+    at a listed number stand where they are listed, others are left out, and rows without
+    any slot do not count.
     """
     few = bars.select(*keys, number, F.col(system_end).alias("_e"), F.lit(None).cast("bigint").alias("_g"))
     marks = groups.select(*keys, F.col("first").alias(number), F.lit(None).cast("boolean").alias("_e"), F.col("last").cast("bigint").alias("_g"))
@@ -93,6 +96,12 @@ def printed_slots(bars: DataFrame, groups: DataFrame, keys, number: str, system_
         bars_only = bars_only.withColumn("_br", F.lit(False))
     slot = F.coalesce(F.col("_hit")["f"], F.col(number).cast("bigint"))
     s = bars_only.groupBy(*keys, slot.alias("first")).agg(F.max(number).cast("bigint").alias("last"), F.bool_or("_e").alias("_e"), F.bool_or(F.coalesce("_br", F.lit(False))).alias("_br"))
+    if print_rows is not None:
+        listed = print_rows.select(*keys, F.col("row").alias("_row"), F.col("pos").alias("_pos"), F.col("number").cast("bigint").alias("first"))
+        x = Ordered(listed.join(s.select(*keys, "first", "last"), [*keys, "first"]), keys, ["_row", "_pos"]).with_columns(_rn=row_number(), _p=lag("_row"))
+        x = x.columns(_start=F.when(F.col("_p").isNull() | (F.col("_p") != F.col("_row")), F.col("_rn")))
+        x = x.with_columns(_from=last_known("_start"), row=running_sum(F.when(F.col("_start").isNotNull(), 1).otherwise(0).cast("bigint")))
+        return x.columns(pos=(F.col("_rn") - F.col("_from") + 1).cast("int")).result.select(*keys, "first", "last", "row", "pos")
     o = Ordered(s, keys, ["first"], chunked=o.fewer).with_columns(_any=total(F.bool_or, "_e"))
     fallback = max(1, min(16, source_per_line or 4))
     limit = F.lit(bars_per_line) if bars_per_line else F.when(F.col("_any"), 0).otherwise(fallback)
@@ -291,13 +300,16 @@ def beam_groups(events: DataFrame, keys, order, onset: str, duration: str, has_n
     return out.withColumn("kind", kind).drop("_c", "_d", "_p", "_n", "_b", "_a")
 
 
-def score_timeline(events: DataFrame, keys, pos: str, onset: str, duration: str, staff: str, voice: str, has_notes: Column) -> DataFrame:
+def score_timeline(events: DataFrame, keys, pos: str, onset: str, duration: str, staff: str, voice: str, has_notes: Column, grace: Column | None = None) -> DataFrame:
     """Written order of a bar: forward gaps, notes and rests per voice, and backups between voices.
 
     The cursor is the furthest end so far, so a short event after a long one makes no gap.
+    Grace events come before others at their onset and take no time.
     """
     by = [*keys, staff, voice]
-    o = Ordered(events, by, [onset, pos]).columns(_end=F.col(onset) + F.col(duration))
+    if grace is not None:
+        events = events.withColumns({"_late": ~F.coalesce(grace, F.lit(False)), duration: F.when(grace, 0.0).otherwise(F.col(duration))})
+    o = Ordered(events, by, [onset, *([] if grace is None else ["_late"]), pos]).columns(_end=F.col(onset) + F.col(duration))
     o = o.with_columns(_cursor=running_max("_end", inclusive=False), _furthest=running_max("_end"), _last=lead(pos))
     cursor = F.coalesce("_cursor", F.lit(0.0))
     units = lambda c: F.rint(c * DIVISIONS).cast("bigint")
@@ -308,3 +320,20 @@ def score_timeline(events: DataFrame, keys, pos: str, onset: str, duration: str,
     v = Ordered(ends, keys, [staff, voice], chunked=False if keys and not o.chunked else None).with_columns(_len=lag("_end"))
     back = v.result.filter("_len > 0").select(*by, F.lit(0).cast("bigint").alias("pos"), F.lit("backup").alias("kind"), units(F.col("_len")).alias("divisions"))
     return parts.unionByName(back)
+
+
+def timeline_directions(bars: DataFrame, events: DataFrame, keys, bar: list[str], order: list[str], tempo: str, onset: str, pos: list[str], words: str, grace: Column | None = None) -> DataFrame:
+    """What is written above the music: a tempo where it changes, words once for each onset of a bar.
+
+    ``bars``: keys, bar, order, tempo (null or 0: none stated).  ``events``: keys, bar, onset,
+    pos, words.  The first event by ``pos`` that has the words carries them; words of grace
+    events are not written.
+    """
+    value = F.when(F.col(tempo) >= 1, F.floor(F.col(tempo)))
+    t = Ordered(bars.withColumn("_t", value), keys, order).with_columns(_was=last_known("_t", inclusive=False)).result
+    t = t.filter(F.col("_t").isNotNull() & ~F.col("_t").eqNullSafe(F.col("_was")))
+    none = F.lit(None)
+    t = t.select(*keys, *bar, F.lit("tempo").alias("kind"), none.cast("double").alias("onset"), F.col("_t").cast("string").alias("text"))
+    e = events.filter((F.col(words) != "") & (F.lit(True) if grace is None else ~F.coalesce(grace, F.lit(False))))
+    w = e.groupBy(*keys, *bar, F.col(onset).cast("double").alias("onset"), F.col(words).alias("text")).agg(F.min(F.struct(*pos)).alias("_first"))
+    return t.unionByName(w.select(*keys, *bar, F.lit("words").alias("kind"), "onset", "text"))

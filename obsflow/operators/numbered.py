@@ -105,6 +105,51 @@ def propagate_by_width(df: DataFrame, keys, x: str, number: str, widths: DataFra
     return o._same(o.df.drop("_own", "_prev", "_l", "_r", "_had")).result
 
 
+def fill_boundaries(df: DataFrame, keys, x: str, number: str, widths: DataFrame, width_keys: list[str], frame: float, *,
+                    seen: DataFrame | None = None, double: Column | None = None, opening: Column | None = None) -> DataFrame:
+    """Further numbers beside verified ones, and boundaries that are not visible.
+
+    An unnumbered boundary beside a numbered one gets its number when that is in ``seen``
+    (keys, number) or the boundary is a ``double`` one on its right.  A first boundary that
+    ``opening`` marks as the real left end, in the first fifth of the frame and followed by
+    2, is 1.  Then each number and the known width beside it place the next boundary: a
+    visible one within 4 of that place gets the number, and where none stands between
+    them one is inserted (``inferred``), from the left if both sides would.
+    """
+    cur = df.withColumns({"_dbl": F.lit(False) if double is None else F.coalesce(double, F.lit(False)), "_open": F.lit(False) if opening is None else F.coalesce(opening, F.lit(False))})
+    o = Ordered(cur, keys, [x]).with_columns(_rn=row_number(), _l=lag(number), _r=lead(number))
+    left, right = F.col("_l") + 1, F.col("_r") - 1
+    d = o.columns(_from_l=left, _from_r=right)
+    if seen is None:
+        in_l = in_r = F.lit(False)
+    else:
+        known = runtime.small(seen.select(*keys, F.col("number").cast("bigint").alias("_sn")).distinct())
+        for side in ("l", "r"):
+            mark = known.withColumnsRenamed({"_sn": f"_from_{side}"}).withColumn(f"_seen_{side}", F.lit(True))
+            d = d._same(d.df.join(mark, [*keys, f"_from_{side}"], "left"))
+        in_l, in_r = F.coalesce("_seen_l", F.lit(False)), F.coalesce("_seen_r", F.lit(False))
+    first = (F.col("_rn") == 1) & (F.col("_r") == 2) & (F.col(x) < frame * 0.2) & F.col("_open")
+    filled = F.coalesce(F.col(number), F.when(in_l | F.col("_dbl"), F.col("_from_l")), F.when(in_r, F.col("_from_r")), F.when(first, 1)).cast("bigint")
+    d = d._same(d.df.select(*df.columns, filled.alias("_n")))
+    wd = runtime.small(widths.select(*width_keys, F.col("number").cast("bigint").alias("_wn"), F.col("width").cast("double").alias("_w")))
+    for name, of in (("_own", F.col("_n")), ("_prev", F.col("_n") - 1)):
+        d = d._same(d.df.withColumn("_wn", of).join(wd.withColumnRenamed("_w", name), [*width_keys, "_wn"], "left").drop("_wn"))
+    side = lambda w: F.struct(F.col(x).cast("double").alias("x"), F.col("_n").alias("n"), F.col(w).alias("w"))
+    d = d.with_columns(_a=lag(side("_own")), _b=lead(side("_prev")))
+    a, b, at = F.col("_a"), F.col("_b"), F.col(x).cast("double")
+    to_a, to_b = a["x"] + a["w"], b["x"] - b["w"]
+    found = F.coalesce(F.col("_n"), F.when(F.abs(to_a - at) < 4, a["n"] + 1), F.when((F.abs(to_b - at) < 4) & (b["n"] > 1), b["n"] - 1))
+    plain = d.result.select(*keys, at.alias("x"), found.alias("number"), F.lit(False).alias("inferred"))
+    # Each gap once: at its left boundary, or before the first one.
+    nxt = at + F.col("_own")
+    ahead = F.when((nxt >= 0) & (nxt < frame) & (b.isNull() | (nxt <= b["x"] - 4)) & (nxt != at), F.struct(F.rint(nxt).alias("p"), (F.col("_n") + 1).alias("n")))
+    back = F.when((to_b >= at + 4) & (to_b < frame) & (b["n"] > 1) & (to_b != b["x"]), F.struct(F.rint(to_b).alias("p"), (b["n"] - 1).alias("n")))
+    before = at - F.col("_prev")
+    head = F.when(a.isNull() & (before >= 0) & (F.col("_n") > 1) & (before != at), F.struct(F.rint(before).alias("p"), (F.col("_n") - 1).alias("n")))
+    new = d.result.select(*keys, F.explode(F.array_compact(F.array(F.coalesce(ahead, back), head))).alias("_s"))
+    return plain.unionByName(new.select(*keys, F.col("_s.p").alias("x"), F.col("_s.n").alias("number"), F.lit(True).alias("inferred")))
+
+
 class _Clusters(Fold):
     """Each width joins the first earlier width close to it."""
 

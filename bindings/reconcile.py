@@ -66,7 +66,7 @@ def _(spark, sf):
 BARS = """e0 AS (SELECT l_orderkey, l_linenumber, row_number() OVER w AS pos,
  (coalesce(sum(CAST(l_quantity AS INTEGER)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / 10 AS onset, l_quantity / 10 AS duration,
  1 AS staff, CAST(1 + l_suppkey % 2 AS INTEGER) AS voice, 1 + l_partkey % 5 AS string, l_suppkey % 40 AS fret, l_returnflag FROM lineitem
- WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey)),
+ WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity)),
 b0 AS (SELECT l_orderkey, l_linenumber, CASE WHEN min(l_partkey) % 17 = 0 THEN 33 ELSE 4 END AS num, 1 - 2 * max(l_discount) AS confidence, min(l_tax) = 0 AS pickup, max(l_tax) >= 0.08 AS high FROM lineitem GROUP BY ALL)"""
 
 
@@ -76,7 +76,7 @@ def bars(spark, sf):
     b = l.groupBy(*by).agg(
         F.when(F.min("l_partkey") % 17 == 0, 33).otherwise(4).alias("num"), F.lit(4).alias("den"), (F.min("l_tax") == 0).alias("pickup"),
         (1 - 2 * F.max("l_discount")).alias("confidence"), F.when(F.max("l_tax") >= 0.08, F.array(F.lit("High tax"))).otherwise(F.array().cast("array<string>")).alias("issues"))
-    o = Ordered(l, by, ORD).with_columns(pos=row_number(), _on=running_sum(F.col("l_quantity").cast("int"), inclusive=False))
+    o = Ordered(l, by, [*ORD, "l_quantity"]).with_columns(pos=row_number(), _on=running_sum(F.col("l_quantity").cast("int"), inclusive=False))
     note = F.struct((1 + F.col("l_partkey") % 5).alias("string"), (F.col("l_suppkey") % 40).cast("string").alias("fret"),
                     F.when(F.col("l_returnflag") == "A", "slap").otherwise("weird slap").alias("marks"))
     notes = F.when(F.col("l_returnflag") == "N", F.array().cast("array<struct<string:bigint,fret:string,marks:string>>")).otherwise(F.array(note))

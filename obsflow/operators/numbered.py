@@ -130,7 +130,8 @@ def fill_boundaries(df: DataFrame, keys, x: str, number: str, widths: DataFrame,
         in_l, in_r = F.coalesce("_seen_l", F.lit(False)), F.coalesce("_seen_r", F.lit(False))
     first = (F.col("_rn") == 1) & (F.col("_r") == 2) & (F.col(x) < frame * 0.2) & F.col("_open")
     filled = F.coalesce(F.col(number), F.when(in_l | F.col("_dbl"), F.col("_from_l")), F.when(in_r, F.col("_from_r")), F.when(first, 1)).cast("bigint")
-    d = d._same(d.df.select(*df.columns, filled.alias("_n")))
+    d = d.columns(_n=filled)
+    d = d._same(d.df.drop("_dbl", "_open", "_rn", "_l", "_r", "_from_l", "_from_r", "_seen_l", "_seen_r"))
     wd = runtime.small(widths.select(*width_keys, F.col("number").cast("bigint").alias("_wn"), F.col("width").cast("double").alias("_w")))
     for name, of in (("_own", F.col("_n")), ("_prev", F.col("_n") - 1)):
         d = d._same(d.df.withColumn("_wn", of).join(wd.withColumnRenamed("_w", name), [*width_keys, "_wn"], "left").drop("_wn"))

@@ -7,10 +7,12 @@ a node by the values of a minwise coordinate that the node itself selects (somet
 A node that is small is compared exhaustively; a large one is split further.
 
 Groups of mutual near copies do not get smaller by splitting.  So large nodes first
-propose their members with the smallest member as partner; these links are confirmed and
-their components are taken out: a node with one component is done, and a node counts as
-small when few members are outside its largest component.  Those few are compared with
-the whole node, whatever its size.
+propose their members with one of them, drawn in each node, as partner; these links are
+confirmed and their components are taken out: a node with one component is done, and a
+node counts as small when few members are outside its largest component.  Those few are
+compared with the whole node, whatever its size.  Nodes that are still mixed after a split
+and have up to ``GROUP`` members are compared exhaustively in one task, on the full sets;
+larger ones are split on.
 
 Proposed pairs pass a test of sizes and of 128 minwise bytes (which loses a pair of
 similarity 0.8 less than once in ten million) and are then confirmed on the full sets.
@@ -34,6 +36,10 @@ COORDINATES = 128
 TREES = 20
 # Members outside the largest component up to which a node is compared exhaustively.
 LEAF = 24
+# A mixed node below the roots is compared by one task up to so many members and shingles
+# (about 100 MB for their counts and 64 MB for their sets).
+GROUP = 4096
+GROUP_SHINGLES = 8_000_000
 # Depth from which on every node is compared, so that the recursion ends.
 DEPTH = 24
 # Partners per verification group; more are dealt over several groups.
@@ -174,40 +180,111 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _exhausted(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that join the components of each node of ``members`` (node, doc_id, comp), on the full sets of all its members.
+
+    Intersection sizes of all pairs are a matrix product over the shingles that at least
+    two members have.
+    """
+    listed = members.groupBy("doc_id").agg(F.collect_set(F.struct("node", "comp")).alias("groups"))
+
+    def sets():
+        def f(doc, text, groups):
+            s = shingle_set(text, words).tobytes()
+            for g in groups:
+                yield g["node"], doc, g["comp"], s
+        return f
+
+    dealt = (map_rows(docs.join(runtime.small(listed), "doc_id").select("doc_id", "text", "groups"), sets, "node bigint, doc_id bigint, comp bigint, s binary", rows=256)
+             .repartition("node").sortWithinPartitions("node"))
+
+    def joined(group) -> list[tuple[int, int]]:
+        own = [np.frombuffer(s, dtype=np.uint64) for _, _, s in group]
+        size = np.array([len(s) for s in own], dtype=np.float64)
+        values, column, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(own)), size.astype(np.int64))
+        place = np.cumsum(often > 1) - 1
+        keep = often[column] > 1
+        row, column = row[keep], place[column[keep]]
+        both = np.zeros((len(own), len(own)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int((often > 1).sum()), 2048):
+            lo, hi = np.searchsorted(column, [at, at + 2048])
+            part = np.zeros((len(own), 2048), dtype=np.float32)
+            part[row[lo:hi], column[lo:hi] - at] = 1
+            both += part @ part.T
+        label = np.array([c for _, c, _ in group])
+        out = []
+        for i in range(len(own)):
+            shared = both[i].astype(np.float64)
+            j = np.flatnonzero((100 * shared >= percent * (size[i] + size - shared)) & (label != label[i]))
+            for c, first in zip(*np.unique(label[j], return_index=True), strict=True):
+                out.append((group[i][0], group[int(j[first])][0]))
+                label[label == c] = label[i]
+        return out
+
+    def compare(batches):
+        key, group = None, []
+
+        def links():
+            got = joined(group) if len(group) > 1 else []
+            return [pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])] if got else []
+
+        for b in batches:
+            for node, *member in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if node != key:
+                    yield from links()
+                    key, group = node, []
+                group.append(tuple(member))
+        yield from links()
+
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
 def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     rows = _level(classes, None)
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("pivot")).filter("size > 1")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "doc_id"), "doc_id", "n")).alias("pivot")).filter("size > 1")
     rows = runtime.checkpoint(rows.join(sizes, "node"))
     fit = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    stars = rows.filter(F.col("size") > LEAF).select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), "n", F.col("pivot.n").alias("m")).filter("a <> b").filter(fit)
-    stars = runtime.checkpoint(_similar(stars.select("a", "b").distinct(), classes, percent))
-    found = runtime.checkpoint(_confirmed(stars, docs, words, percent))
-    label = components(found).withColumnsRenamed({"node": "doc_id", "component": "comp"})
-    label = runtime.checkpoint(label)
+    stars = rows.filter(F.col("size") > LEAF).select(F.col("pivot.doc_id").alias("p"), "doc_id", "n", F.col("pivot.n").alias("m")).filter("p <> doc_id").filter(fit)
+    stars = stars.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
+    found = runtime.checkpoint(_confirmed(runtime.checkpoint(_similar(stars, classes, percent)), docs, words, percent))
+    label = runtime.small(runtime.checkpoint(components(found).withColumnsRenamed({"node": "doc_id", "component": "comp"})))
 
-    pairs = []
+    links, pairs = [found], []
     rows = rows.select("node", "doc_id", "n")
     for depth in range(1, DEPTH + 1):
-        rows = rows.join(runtime.small(label), "doc_id", "left").select("node", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+        rows = rows.join(label, "doc_id", "left").select("node", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
         if depth > 1:  # used by the counts and with them
             rows = runtime.checkpoint(rows)
-        stat = (rows.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node")
-                .agg(F.max(F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
-                .select("node", F.col("top.comp").alias("main"), "others"))
+        stat = (rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("bigint")).alias("s")).groupBy("node")
+                .agg(F.max(F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others"),
+                     ((F.sum("c") <= GROUP) & (F.sum("s") <= GROUP_SHINGLES)).alias("fits")).filter("others > 0")
+                .select("node", F.col("top.comp").alias("main"), "others", "fits"))
         rows = runtime.checkpoint(rows.join(stat, "node"))
-        done = rows if depth == DEPTH else rows.filter(F.col("others") <= LEAF)
-        few = done.filter("comp <> main").select("node", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("comp").alias("xc"))
-        met = done.join(few, "node").filter("comp <> xc and (comp = main or doc_id < x)").filter(fit)
+        few = F.lit(True) if depth == DEPTH else F.col("others") <= LEAF
+        done = rows.filter(few)
+        other = done.filter("comp <> main").select("node", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("comp").alias("xc"))
+        met = done.join(other, "node").filter("comp <> xc and (comp = main or doc_id < x)").filter(fit)
         pairs.append(runtime.checkpoint(met.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()))
-        active = rows.filter(F.col("others") > LEAF).groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
-        if depth == DEPTH or rows.filter(F.col("others") > LEAF).isEmpty():
+        rest = rows.filter(~few)
+        if rest.isEmpty():
             break
-        rows = _level(classes, runtime.checkpoint(active))
+        if depth > 1:
+            links.append(runtime.checkpoint(_exhausted(rest.filter("fits"), docs, words, percent)))
+            rest = rest.filter("not fits")
+            if rest.isEmpty():
+                break
+        rows = _level(classes, runtime.checkpoint(rest.groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))))
     met = pairs[0]
     for p in pairs[1:]:
         met = met.union(p)
-    close = runtime.checkpoint(_similar(met.distinct(), classes, percent))
-    return found.union(_confirmed(close, docs, words, percent))
+    links.append(_confirmed(runtime.checkpoint(_similar(met.distinct(), classes, percent)), docs, words, percent))
+    out = links[0]
+    for x in links[1:]:
+        out = out.union(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -168,6 +168,20 @@ def _(spark, sf):
     return b.merge_close(ev(spark, sf), KEY, ORD, "t", 14400.0, keep="first")
 
 
+@query("regular_grids", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch_us(ts) / 3600e6) AS DOUBLE) AS x FROM events),
+d AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY x) AS k FROM e),
+c AS (SELECT a.user_id, a.k, b.k AS kb, a.x AS x0, b.x AS x3, (b.x - a.x) / 3 AS s FROM d a JOIN d b ON a.user_id = b.user_id AND b.k >= a.k + 3 AND (b.x - a.x) / 3 BETWEEN 3 AND 35),
+o AS (SELECT c.user_id, c.k, kb, x0, x3, s FROM c JOIN d y ON y.user_id = c.user_id AND y.x BETWEEN x0 AND x3 JOIN range(1, 3) r(n) ON abs(y.x - (x0 + n * s)) <= greatest(1.5, s * 0.12) GROUP BY ALL HAVING count(DISTINCT n) = 2),
+m AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM d y WHERE y.user_id = o.user_id AND (abs(y.x - (x0 - s)) <= greatest(1.5, s * 0.12) OR abs(y.x - (x3 + s)) <= greatest(1.5, s * 0.12)))
+ QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY x3) = 1),
+g AS (SELECT d.user_id, d.k, kb, x0, x3, s FROM d LEFT JOIN m USING (user_id, k) WHERE d.k = 1
+ UNION ALL SELECT d.user_id, d.k, m.kb, m.x0, m.x3, m.s FROM g JOIN d ON d.user_id = g.user_id AND d.k = coalesce(g.kb, g.k) + 1 LEFT JOIN m ON m.user_id = d.user_id AND m.k = d.k)
+SELECT user_id, x0 AS first, x3 AS last, s AS spacing FROM g WHERE kb IS NOT NULL""")
+def _(spark, sf):
+    d = ev(spark, sf).select("user_id", F.floor(F.col("t") / 3600).alias("x")).distinct()
+    return b.regular_grids(d, KEY, "x", 4)
+
+
 @query("equal_spaced_groups", """WITH RECURSIVE d AS (SELECT DISTINCT user_id, CAST(epoch_us(ts) // 86400000000 AS DOUBLE) AS x FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) AS rn, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(x, 3) OVER w AS x3, lead(x, 4) OVER w AS x4 FROM d WINDOW w AS (PARTITION BY user_id ORDER BY x)),
 m AS (SELECT *, list_median([x1 - x, x2 - x1, x3 - x2, x4 - x3]) AS md FROM n),

@@ -216,3 +216,55 @@ def test_schema_paths(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "i int, j string")
     assert rows(p.schema_check(df, ["i"], "j", schema)) == [
         (1, "response.n", "expected integer"), (1, "response.x[0].b", "expected boolean"), (1, "response.x[1]", "missing or unexpected fields"), (2, "response", "malformed")]
+
+
+def grids_by_rule(rows, n):
+    """Regular grids by trying every position again, over (position, strength) of one key."""
+    xs = [x for x, _ in rows]
+    power = dict(rows)
+    near = lambda at: min(xs, key=lambda y: abs(y - at))
+    out, i = [], 0
+    while i + n - 1 < len(xs):
+        hit = None
+        for last in xs[i + n - 1:]:
+            gap = (last - xs[i]) / (n - 1)
+            tol = max(1.5, gap * 0.12)
+            places = [xs[i] + m * gap for m in range(n)]
+            if not 3 <= gap <= 35 or any(abs(near(p) - p) > tol for p in places):
+                continue
+            if n == 4 and any(abs(near(p) - p) <= tol for p in (xs[i] - gap, last + gap)):
+                continue
+            hit = [near(p) for p in places]
+            break
+        while hit and n == 6:
+            gap = (hit[-1] - hit[0]) / 5
+            more = near(hit[-1] + gap)
+            if abs(more - hit[-1] - gap) > max(1.5, gap * 0.12) or more == hit[-1] or power[more] <= power[hit[0]] * 1.1:
+                break
+            hit = [*hit[1:], more]
+        if hit:
+            out.append((hit[0], hit[-1], (hit[-1] - hit[0]) / (n - 1)))
+            i = xs.index(hit[-1]) + 1
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [4, 6])
+def test_regular_grids_tolerate_other_rows(sized, n):
+    rnd = random.Random(n)
+    data = {}
+    for k in range(12):
+        xs, at = set(), 0
+        for _ in range(5):
+            at += rnd.randrange(30, 90)
+            gap = rnd.randrange(4, 20)
+            xs.update(at + m * gap + rnd.choice([0, 0, 1]) for m in range(rnd.choice([n - 1, n, n, n + 1])))
+            xs.update(at + rnd.randrange(n * gap) for _ in range(rnd.choice([0, 1, 2])))
+            at = max(xs)
+        data[f"k{k}"] = [(float(x), float(rnd.randrange(10, 30))) for x in sorted(xs)]
+    d = sized.createDataFrame([(k, x, s) for k, r in data.items() for x, s in r], "k string, x double, s double")
+    got = {}
+    for k, *g in rows(b.regular_grids(d, ["k"], "x", n, strength="s"), "k", "first", "last", "spacing"):
+        got.setdefault(k, []).append(tuple(g))
+    assert got == {k: w for k, r in data.items() if (w := grids_by_rule(r, n))} and got

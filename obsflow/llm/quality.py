@@ -82,8 +82,9 @@ def base_failed() -> Column:
 def _log_factorial(x: Column) -> Column:
     """Stirling's series, below 16 from a table; off by less than 1e-10."""
     x = x.cast("double")
+    small, x = x, F.greatest(x, F.lit(1.0))
     series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(x < 16, F.get(F.lit([math.lgamma(i + 1) for i in range(16)]), x.cast("int"))).otherwise(series)
+    return F.when(small < 16, F.get(F.lit([math.lgamma(i + 1) for i in range(16)]), small.cast("int"))).otherwise(series)
 
 
 def binomial_tail(n: Column, k: Column, rate: float) -> Column:
@@ -96,8 +97,8 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     first = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(rate) + (n - k) * math.log(1 - rate)
 
     def add(acc: Column, i: Column) -> Column:
-        t = acc["t"] * (k - i) * odds / (n - k + i + 1)
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"), (t / acc["t"]).alias("r"))
+        r = (k - i) * odds / (n - k + i + 1)
+        return F.struct((acc["t"] * r).alias("t"), (acc["s"] + acc["t"] * r).alias("s"), r.alias("r"))
 
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"), F.lit(0.0).alias("r"))
     total = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.least(k, F.lit(TERMS)), F.lit(1)) - 1), start, add,

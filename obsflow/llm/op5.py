@@ -23,7 +23,7 @@ t AS (SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FI
 c AS (SELECT *, CASE WHEN k >= n * {_RATE!r} THEN 1 ELSE
         list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RATE!r}) + (n - j) * ln({1 - _RATE!r})) for j in range(0, k + 1)]) END AS p,
         (SELECT count(*) FROM t) AS m FROM t),
-s AS (SELECT lang, rule, arg_max(cutoff, (kb * n - k * nb, cutoff)) AS cutoff FROM c WHERE p <= {quality.ERROR} / m AND kb * n > k * nb GROUP BY ALL),
+s AS (SELECT lang, rule, arg_max(cutoff, (kb * n - k * nb, cutoff)) AS cutoff FROM c WHERE p <= {quality.ERROR} / m AND kb * n > k * nb AND kb * n >= {quality.LIFT} * k * nb GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM b JOIN s ON b.lang IS NOT DISTINCT FROM s.lang WHERE {_REJECTS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
 """

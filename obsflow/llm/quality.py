@@ -6,8 +6,9 @@ The cutoff is certified when the exact binomial probability of k or fewer reject
 true rate of ``limit`` / number of rules, is at most ``error`` / number of tests
 (Bonferroni over all strata, rules and cutoffs).  With probability 1 - ``error`` all
 certified cutoffs together reject at most ``limit`` of the good documents of each stratum.
-Of a rule's certified cutoffs the one that separates bad from good documents best is used,
-the loosest of equal ones; a rule without one does not apply in that stratum.
+Of a rule's certified cutoffs that reject bad documents at least ``lift`` times as often as
+good ones, the one that separates them best is used, the loosest of equal ones; a rule
+without one does not apply in that stratum.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ RULES = {
 }
 LIMIT = 0.1
 ERROR = 0.05
+LIFT = 20
 # Terms of a binomial tail that are added; the rest is bounded by a geometric series.
 TERMS = 1000
 _POSITION = (1 << 30) - 1
@@ -106,7 +108,7 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first) * F.when(k == 0, F.lit(1.0)).otherwise(total)))
 
 
-def cutoffs(held: DataFrame, rules=RULES, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+def cutoffs(held: DataFrame, rules=RULES, limit: float = LIMIT, error: float = ERROR, lift: int = LIFT) -> DataFrame:
     """One row a stratum with the cutoff of each rule (null: none is certified), from ``held``: features and ``good`` boolean."""
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).cast("bigint").alias("cutoff"), (1000 * F.col(a) > c * F.col(b)).alias("rejects")) for r, (a, b, cs) in rules.items() for c in cs])
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
@@ -115,13 +117,13 @@ def cutoffs(held: DataFrame, rules=RULES, limit: float = LIMIT, error: float = E
     t = runtime.checkpoint(t)
     tests_made = max(t.count(), 1)
     gain = F.col("kb") * F.col("n") - F.col("k") * F.col("nb")
-    sure = t.filter(binomial_tail(F.col("n"), F.col("k"), limit / len(rules)) <= error / tests_made).filter(gain > 0)
+    sure = t.filter(binomial_tail(F.col("n"), F.col("k"), limit / len(rules)) <= error / tests_made).filter((gain > 0) & (F.col("kb") * F.col("n") >= lift * F.col("k") * F.col("nb")))
     best = sure.groupBy("stratum", "rule").agg(F.max(F.struct(gain.cast("decimal(38,0)").alias("g"), "cutoff"))["cutoff"].alias("cutoff"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules])
 
 
 def rule_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality",
-                  rules=RULES, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+                  rules=RULES, limit: float = LIMIT, error: float = ERROR, lift: int = LIFT) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of every row of ``docs``.
 
     ``labels`` has the id and 1 for good, 0 for bad documents (null: not labelled); every
@@ -130,7 +132,7 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     f = runtime.checkpoint(features(docs, id_col, text_col, stratum_col).withColumn("base_failed", base_failed()))
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(good_col) == 1).alias("good")).filter("good is not null")
-    cuts = runtime.small(runtime.checkpoint(cutoffs(f.filter("not base_failed").join(known, "doc_id"), rules, limit, error)))
+    cuts = runtime.small(runtime.checkpoint(cutoffs(f.filter("not base_failed").join(known, "doc_id"), rules, limit, error, lift)))
     out = f.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     fails = [F.coalesce(1000 * F.col(a) > F.col(f"cut_{r}") * F.col(b), F.lit(False)) for r, (a, b, _) in rules.items()]
     rejected = fails[0]

@@ -240,7 +240,7 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
         texts[i] = " ".join(w)
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = neardup.components_by_rule(texts, 4)
-    for leaf, group in ((24, 1024), (3, 1024), (3, 40)):
+    for leaf, group in ((24, 4096), (3, 40)):
         monkeypatch.setattr(neardup, "LEAF", leaf)
         monkeypatch.setattr(neardup, "GROUP", group)
         monkeypatch.setattr(neardup, "DEPTH", 6)
@@ -257,9 +257,10 @@ def test_near_duplicate_rows_with_odd_ids(spark):
     assert kept.columns == d.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "7", "7", "None"]
 
 
-def test_substrings(spark, docs, empty, tmp_path):
+def test_substrings(spark, docs, empty, tmp_path, monkeypatch):
     texts = {i: t for i, t, *_ in corpus()}
-    for width in (50, 5):
+    for width, shared in ((50, 500), (50, 2), (5, 1)):
+        monkeypatch.setattr(substrings, "SHARED", shared)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(substrings.remove_repeats(docs, width=width)).collect()}
         assert got == substrings.removed_by_rule(texts, width)
     docs.write.parquet(str(tmp_path / "documents.parquet"))

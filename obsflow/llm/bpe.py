@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from obsflow.llm.texts import map_rows, worker_state
 
 # Pieces (and pairs of tokens) a worker remembers before it starts again.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class _Pieces(dict):
@@ -177,7 +177,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    state = worker_state()
+    state = worker_state("bpe")
     key = ("bpe", path, pattern)
     if key not in state:
         state[key] = Vocabulary(path, pattern)

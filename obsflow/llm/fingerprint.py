@@ -37,7 +37,7 @@ def _reduce(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
     """Powers of each base and of its inverse, kept by the worker and doubled when too few."""
-    state = worker_state()
+    state = worker_state("powers")
     have = state.get("powers")
     if have is None or len(have[0][0]) < n:
         size = max(1 << 12, 1 << (n - 1).bit_length())

@@ -86,6 +86,13 @@ def children(nodes: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.concatenate([_child(nodes, one, sig), _child(nodes[more], two, sig)])
 
 
+def _few(batches):
+    """The rows in small batches: sets of long documents are large."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            yield b.slice(at, 64)
+
+
 def _prints(docs: DataFrame, words: int) -> DataFrame:
     def make():
         def f(doc, text):
@@ -160,7 +167,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     def compare(batches):
         key, own = None, []
-        for b in batches:
+        for b in _few(batches):
             out: list[tuple[int, int]] = []
             for hub, block, doc, spoke, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != (hub, block):
@@ -231,7 +238,7 @@ def _exhausted(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
             got = joined(group) if len(group) > 1 else []
             return [pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])] if got else []
 
-        for b in batches:
+        for b in _few(batches):
             for node, *member in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if node != key:
                     yield from links()

@@ -14,15 +14,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # Entries after which a worker's cache starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python process, across the tasks it runs."""
-    holder = sys.modules.setdefault("_obsflow_worker_state", types.ModuleType("_obsflow_worker_state"))
-    return holder.__dict__.setdefault("state", {})
+def worker_state(kind: str) -> dict:
+    """A dictionary that lives as long as the Python process, across the tasks it runs.
+
+    Only the last kind that was asked for is kept, so that the stages of a job that share
+    workers do not add up.
+    """
+    holder = sys.modules.setdefault("_obsflow_worker_state", types.ModuleType("_obsflow_worker_state")).__dict__
+    if holder.get("kind") != kind:
+        holder["kind"], holder["state"] = kind, {}
+    return holder["state"]
 
 
 class _WordHashes(dict):
@@ -39,7 +45,7 @@ def word_list(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    state = worker_state()
+    state = worker_state("words")
     known = state.get("words")
     if known is None:
         known = state["words"] = _WordHashes()

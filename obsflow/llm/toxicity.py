@@ -31,7 +31,7 @@ FOLDS = 5
 RIDGE = 0.05
 # Lengths of the word beginnings that are features; "$" marks whole words.
 BEGINNINGS = (4, 5, 6)
-_CACHE = 400_000
+_CACHE = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 # In chain order, as conditions on the labels.
@@ -161,7 +161,7 @@ class _Lookup(dict):
 
 
 def _lookup(index: dict[str, int]) -> _Lookup:
-    state, key = worker_state(), ("toxicity", tuple(index))
+    state, key = worker_state("toxicity"), ("toxicity", tuple(index))
     if state.get("toxicity", (None,))[0] != key:
         state["toxicity"] = key, _Lookup(index)
     return state["toxicity"][1]

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from obsflow.llm.texts import map_arrays, map_rows, window_hashes, word_hashes, word_list
 
 GRAM = 8
+# An anchor of more documents than this is spread, over at most so many join keys.
+SHARED = 500
+SPREAD = 64
 
 
 def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -50,6 +53,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id are kept whole and remove nothing.  Other columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if docs.select(id_col, text_col).dtypes == d.dtypes:
+        # Without new names all uses of the texts are one exchange.
+        d = docs.select(id_col, text_col)
     known = d.filter(F.col("doc_id").isNotNull())
 
     def anchors():
@@ -62,9 +68,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return f
 
     seen = map_arrays(known, anchors, "anchor bigint, doc_id bigint")
-    first = seen.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    shared = (seen.join(first, "anchor").groupBy("doc_id")
-              .agg(F.collect_list(F.struct("anchor", (F.col("first") < F.col("doc_id")).alias("later"))).alias("anchors")))
+    # What very many documents share is spread over several join keys.
+    spread = F.least(F.lit(SPREAD), F.ceil(F.count("*") / SHARED)).cast("int").alias("spread")
+    first = seen.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), spread).filter("first < last")
+    # Dealt by document before they are gathered: there is nothing to combine on the way.
+    shared = (seen.join(first, "anchor").select("doc_id", "anchor", "first", "spread").repartition("doc_id").groupBy("doc_id")
+              .agg(F.collect_list(F.struct("anchor", (F.col("first") < F.col("doc_id")).alias("later"), "spread")).alias("anchors")))
     local = known.join(shared, "doc_id", "left")
 
     def windows(later_only: bool):
@@ -74,17 +83,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     return None
                 h = word_hashes(word_list(text))
                 a = _anchors(h, width).view(np.int64)
-                picked = np.array([m["anchor"] for m in marks if m["later"] or not later_only], dtype=np.int64)
-                at = np.flatnonzero(np.isin(a, picked)).astype(np.int32)
-                w = window_hashes(h, width).view(np.int64)[at]
-                return (w, np.full(len(at), doc), at) if later_only else (lambda u: (u, np.full(len(u), doc)))(np.unique(w))
+                picked = sorted((m["anchor"], m["spread"]) for m in marks if m["later"] or not later_only)
+                if not picked:
+                    return None
+                anchor, spread = np.array([p for p, _ in picked], dtype=np.int64), np.array([s for _, s in picked], dtype=np.int32)
+                k = np.minimum(np.searchsorted(anchor, a), len(anchor) - 1)
+                at = np.flatnonzero(anchor[k] == a).astype(np.int32)
+                w, parts = window_hashes(h, width).view(np.int64)[at], spread[k[at]]
+                if later_only:
+                    return w, (doc % parts).astype(np.int32), np.full(len(at), doc), at
+                w, one = np.unique(w, return_index=True)
+                return w, parts[one], np.full(len(w), doc)
             return f
         return make
 
     marked = local.filter(F.col("anchors").isNotNull()).select("doc_id", "text", "anchors")
-    counted = map_arrays(marked, windows(False), "window bigint, doc_id bigint").groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    starts = (map_arrays(marked, windows(True), "window bigint, doc_id bigint, start int").join(counted, "window")
-              .filter("first < doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts")))
+    counted = map_arrays(marked, windows(False), "window bigint, spread int, doc_id bigint").groupBy("window", "spread").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    counted = counted.select("window", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("part"), "first")
+    starts = (map_arrays(marked, windows(True), "window bigint, part int, doc_id bigint, start int").join(counted, ["window", "part"])
+              .filter("first < doc_id").select("doc_id", "start").repartition("doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts")))
 
     def cut():
         def f(doc, text, at):

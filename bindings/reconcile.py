@@ -156,6 +156,16 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", r.expand_shorthand(F.lit("E"), frets, F.lit("i"), F.lit("o")).alias("tokens"))
 
 
+@query("expand_shorthand_lines", """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line_text, unnest(range(len(ls))) AS line FROM s),
+w AS (SELECT doc_id, line, string_split(line_text, ' ') AS ws FROM l),
+t AS (SELECT doc_id, line, unnest(ws) AS f, unnest(range(len(ws))) AS i, len(ws) AS n FROM w)
+SELECT doc_id, CAST(line AS INTEGER) AS line, string_agg('E' || f || ':.5:' || CASE WHEN i = 0 THEN 'i' WHEN i = n - 1 THEN 'o' ELSE '' END, ' ' ORDER BY i) AS tokens FROM t GROUP BY doc_id, line""")
+def _(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+    return lines.select("doc_id", "line", r.expand_shorthand(F.lit("E"), F.split("line_text", " "), F.lit("i"), F.lit("o")).alias("tokens"))
+
+
 @query("tokenize_events", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[ \n]+', ':1.5 ', 'g'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, i - 1 AS pos, string_split(ws[i], ':') AS p FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i))
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN p[1] <> 'R' THEN substr(p[1], 1, 1) END AS string, CASE WHEN p[1] <> 'R' THEN substr(p[1], 2) END AS fret,

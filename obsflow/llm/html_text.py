@@ -20,7 +20,9 @@ _BLOCK = frozenset("""address article aside blockquote body center dd details di
  header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 # Elements whose content is never text of the page.
 _SILENT = frozenset("script style noscript template head title textarea select button iframe object svg math audio video canvas map".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
+# What can stand in a head; anything else ends it, as its end tag may be left out.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _AWAY = {"nav": "nav", "footer": "foot", "aside": "side", "form": "form", "dialog": "notice", "menu": "nav", "search": "form", "fieldset": "form"}
 # Words in class, id and role that say what an element is for.
 _HINTS = {
@@ -108,7 +110,9 @@ def share(tree, x) -> float:
 
 
 def _kind(name: str, attr: str) -> str | None:
-    """What an element is for: an enclosure, "main", "hidden" or nothing."""
+    """What an element is for: an enclosure, "main", "hidden" or nothing.  What a whole page is called says nothing about its parts."""
+    if name in ("html", "body"):
+        return None
     kind = _AWAY.get(name) or ("main" if name in ("article", "main") else "head" if name == "header" else None)
     if kind in ("nav", "foot", "side", "form", "notice") or not attr:
         return kind
@@ -155,9 +159,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             if link:
                 linked += len(piece.split())
 
+    def end_head():
+        nonlocal silent
+        if open_ and open_[-1][0] == "head":
+            open_.pop()
+            silent -= 1
+
     at = 0
     for m in _TAG.finditer(page):
-        say(page[at:m.start()])
+        piece = page[at:m.start()]
+        if silent and piece.strip():
+            end_head()
+        say(piece)
         at = m.end()
         name = m["name"]
         if name is None:
@@ -175,6 +188,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     del open_[i:]
                     break
             continue
+        if silent and name not in _HEAD:
+            end_head()
         if name in _BLOCK:
             close()
             heading = int(name in ("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -194,6 +209,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         elif name in ("p", "li"):
             while open_ and open_[-1][0] == name:
                 silent -= open_.pop()[1] == "hidden"
+    if page[at:].strip():
+        end_head()
     say(page[at:])
     close()
     return out

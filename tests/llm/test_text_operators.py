@@ -115,6 +115,21 @@ def test_html_main_text():
         html_text.main_text(odd, tree)
 
 
+def test_html_named_pages_and_open_heads():
+    tree = html_text.trained()
+    rest = """<article><h1>Title</h1><p>The first paragraph of the article has more than a few words in it.</p>
+    <p>The second paragraph of the article has as many.</p></article><aside><p>Other things to read</p></aside></body></html>"""
+    want = "Title\nThe first paragraph of the article has more than a few words in it.\nThe second paragraph of the article has as many."
+    for start in ("<html><head><title>T</title></head><body>", '<html><head></head><body class="home right-sidebar">', '<html><head></head><body class="single comments-open">',
+                  '<html class="cookies"><head></head><body id="footer" role="dialog">', '<html><head></head><body style="display:none">',
+                  '<html><head><meta charset=utf-8><title>T</title><link rel=x href=y><style>p{}</style><body>', "<html><head><title>T</title><script>x</script>", "<head><basefont size=2><noscript><p>n</p></noscript>"):
+        assert html_text.main_text(start + rest, tree) == want, start
+    # Text and tags that a head cannot hold end it as well.
+    assert [b[0] for b in html_text.blocks("<head><title>T</title> text <b>of the page</b><p>More</p>")] == ["text of the page", "More"]
+    assert [b[0] for b in html_text.blocks("<head><title>T</title> plain text")] == ["plain text"]
+    assert html_text.blocks("<head><title>T</title>\n<meta name=a content=b>\n") == []
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>One</p></article>"), (1, "u", None), (2, None, "")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extracted(pages).collect()) == [(1, "", 0), (1, "One", 3), (2, "", 0)]

@@ -91,7 +91,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at = np.flatnonzero(anchor[k] == a).astype(np.int32)
                 w, parts = window_hashes(h, width).view(np.int64)[at], spread[k[at]]
                 if later_only:
-                    return w, (doc % parts).astype(np.int32), np.full(len(at), doc), at
+                    return w, (doc % parts.astype(np.int64)).astype(np.int32), np.full(len(at), doc, dtype=np.int64), at
                 w, one = np.unique(w, return_index=True)
                 return w, parts[one], np.full(len(w), doc)
             return f

@@ -285,6 +285,14 @@ def test_substrings(spark, docs, empty, tmp_path, monkeypatch):
     assert sorted((str(r.doc_id), r.n_removed) for r in substrings.remove_repeats(odd).collect()) == [("1", 0), ("1", 0), ("2", 60), ("None", 0)]
 
 
+def test_substrings_of_any_id(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARED", 1)
+    text = " ".join(f"w{i}" for i in range(60))
+    ids = [-2**63, -2**31 - 1, -7, -1, 5, 2**31, 2**40 + 3, 2**63 - 1]
+    d = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(d).collect()} == {i: 60 * (i > ids[0]) for i in ids}
+
+
 def test_toxicity_learns_words_and_beginnings(spark, empty):
     rnd = random.Random(6)
     rows, labels = [], []

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsflow.llm import bpe, mixing, neardup, pii, toxicity
-from obsflow.llm.op3 import key
+from obsflow.llm.op3 import day_first, key
 from obsflow.plans import runtime
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms of the same format."""
-    return docs.withColumn("text", pii.pseudonyms(F.col("text"), key(spark))["text"])
+    return docs.withColumn("text", pii.pseudonyms(F.col("text"), key(spark), day_first(spark))["text"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,18 @@ from obsflow.llm import pii, query
 # Set this to a secret of the corpus; the default only makes results repeatable.
 KEY = "spark.obsflow.pseudonym.key"
 
+# "true": 05/12/2024 is the 5th of December.
+DAY_FIRST = "spark.obsflow.pseudonym.dayfirst"
+
 
 def key(spark) -> str:
     return spark.conf.get(KEY, "change-me")
 
 
+def day_first(spark) -> bool:
+    return spark.conf.get(DAY_FIRST, "false").lower() == "true"
+
+
 @query("op3_pseudonyms")
 def op3(spark, sf):
-    return pii.pseudonymised(spark.read.parquet(f"{sf}/documents.parquet"), key(spark))
+    return pii.pseudonymised(spark.read.parquet(f"{sf}/documents.parquet"), key(spark), day_first=day_first(spark))

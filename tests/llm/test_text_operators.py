@@ -1,5 +1,6 @@
 """Operators of the text subpackage against plain rules, on small tables with awkward rows."""
 
+import ipaddress
 import hashlib
 import math
 import random
@@ -152,6 +153,56 @@ def test_pii_formats():
     assert len(dates) == 480
 
 
+def test_pii_forms_of_dates():
+    key = b"k"
+
+    def day(text, **kw):
+        new, found = pii.pseudonymise(text, key, **kw)
+        assert found == [("date", new.removesuffix("T10:00:00Z"))] and new != text, text
+        return new
+
+    year, month, date = day("2024-12-31").split("-")
+    m, d = str(int(month)), str(int(date))
+    assert int(date) > 12
+    for given, want in (("31/12/2024", f"{date}/{month}/{year}"), ("12/31/2024", f"{month}/{date}/{year}"), ("31-12-2024", f"{date}-{month}-{year}"), ("31.12.2024", f"{date}.{month}.{year}"),
+                        ("2024/12/31", f"{year}/{month}/{date}"), ("2024-12-31T10:00:00Z", f"{year}-{month}-{date}T10:00:00Z")):
+        assert day(given) == want
+    year, month, date = day("2024-01-05").split("-")
+    m, d = str(int(month)), str(int(date))
+    en = pii._MONTHS[0][1][0][int(m) - 1].capitalize()
+    de, fr, es = (next(x[1][0][int(m) - 1] for x in pii._MONTHS if x[0] == lang) for lang in ("de", "fr", "es"))
+    for given, want in (("5.1.2024", f"{d}.{m}.{year}"), ("1/5/2024", f"{m}/{d}/{year}"), ("5 January 2024", f"{d} {en} {year}"), ("January 5, 2024", f"{en} {d}, {year}"),
+                        ("5. Januar 2024", f"{d}. {de.capitalize()} {year}"), ("5 janvier 2024", f"{d} {fr} {year}"), ("5 de enero de 2024", f"{d} de {es} de {year}")):
+        assert day(given) == want
+    # Both numbers 12 or less: the month comes first, or the day for the whole corpus.
+    assert day("01/05/2024") == f"{month}/{date}/{year}" and day("05/01/2024", day_first=True) == f"{date}/{month}/{year}" and day("12/31/2024", day_first=True) == day("12/31/2024")
+    assert pii.pseudonymise("32/13/2024 31.2.2024 30 February 2024 2024-13-01", key)[1] == []
+    every = [f"{a:02d}/{b:02d}/2024" for a in range(1, 32) for b in range(1, 32) if min(a, b) <= 12 and max(a, b) <= 28]
+    for first in (False, True):
+        assert len({day(v, day_first=first) for v in every}) == len(every)
+
+
+def test_pii_numbers_of_other_countries():
+    key = b"k"
+    for text in ("+4915112345678", "+33 6 12 34 56 78", "06 12 34 56 78", "030 1234567", "555 123 4567", "0612345678", "0049 151 12345678", "612 34 56 78"):
+        new, found = pii.pseudonymise(f"call {text}, or", key)
+        assert [k for k, _ in found] == ["phone"] and new == f"call {found[0][1]}, or" and found[0][1] != text, text
+        assert "".join("9" if c.isdigit() else c for c in found[0][1]) == "".join("9" if c.isdigit() else c for c in text)
+    digits = lambda text: "".join(c for c in pii.pseudonymise(text, key)[0] if c.isdigit())
+    assert digits("+4915112345678") == digits("+49 151 12345678") == digits("0049 151 12345678").removeprefix("00") and digits("+4915112345678").startswith("49")
+    assert pii.pseudonymise("+49 (0)30 1234567", key)[0].replace("(0)", "") == pii.pseudonymise("+49 30 1234567", key)[0]
+    assert pii.pseudonymise("1,000 200 3000 and 01.02.24 12:30 and 0.612345678", key)[1] == []
+
+
+def test_pii_ip6():
+    key = b"k"
+    new, found = pii.pseudonymise("from 2001:db8::1, 2001:0DB8:0000:0000:0000:0000:0000:0001 and fe80::1%eth0", key)
+    assert [k for k, _ in found] == ["ip6"] * 3 and "2001" not in new
+    a, b, c = (ipaddress.IPv6Address(v) for _, v in found)
+    assert a == b != c and "::" in found[0][1] and len(found[1][1]) == 39
+    assert pii.pseudonymise("::1 12:30:45 0a:bb:cc:dd:ee:ff std::vector 1::2::3", key)[1] == []
+
+
 def test_pii_rows(spark):
     d = spark.createDataFrame([(1, "mail x.12@mail1.example.com", "a"), (2, None, "b"), (3, "", "c"), (4, "again x.12@mail1.example.com !", "d")], "doc_id long, text string, values string")
     done = pii.pseudonymised(d, "k")

@@ -6,7 +6,7 @@ import importlib
 
 from obsflow.llm import ORACLES, QUERIES
 
-MODULES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op13"]
+MODULES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"]
 
 
 def load() -> tuple[dict, dict[str, str]]:

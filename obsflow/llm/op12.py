@@ -11,9 +11,9 @@ near AS (SELECT lang, x, lead(x) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(x,
 f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM (SELECT lang, unnest([1, 2, 3, 4]) AS m, unnest([x, x || ' ' || x2, x || ' ' || x2 || ' ' || x3, x || ' ' || x2 || ' ' || x3 || ' ' || x4]) AS phrase FROM near)
  WHERE phrase IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 30),
 cand AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
-cuts AS (SELECT c.lang, c.phrase, c.a, x.k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score
- FROM cand c, (SELECT unnest([1, 2, 3]) AS k) x
- JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:x.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[x.k + 1:], ' ') WHERE x.k < c.m),
+cut AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS h, array_to_string(w[k + 1:], ' ') AS t FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+cuts AS (SELECT cut.lang, cut.phrase, cut.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * cut.a // (l.a + r.a))::BIGINT AS score
+ FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = h JOIN f r ON r.lang = cut.lang AND r.phrase = t),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 runs AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
  FROM (SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY 1, 2),

@@ -36,7 +36,7 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.fill(key)
-        self.size += 250 + 2 * len(key) + 8 * len(value)
+        self.size += 200 + len(key) + 4 * len(value)
         if self.size > self.limit:
             self.old = dict(self)
             self.clear()
@@ -45,6 +45,33 @@ class Recent(dict):
         return value
 
 
+class _Followers(dict):
+    """Whether a token may follow a prefix whose last token is ``left``; -1: none, or a symbol that no token holds."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges, self.known = merges, 0
+
+    def __missing__(self, left: int) -> _Follower:
+        row = self[left] = _Follower(self, left)
+        return row
+
+
+class _Follower(dict):
+    def __init__(self, rows: _Followers, left: int):
+        super().__init__()
+        self.rows, self.left = rows, left
+
+    def __missing__(self, token: int) -> bool:
+        rows, left, merges = self.rows, self.left, self.rows.merges
+        rows.known += 1
+        if rows.known > CACHE_PAIRS:
+            rows.clear()
+            rows.known = 0
+        fits = self[token] = merges.parts(token) is not None and (left < 0 or merges.joins(left, token))
+        return fits
+
+
 class Merges:
     """Tokens (strings of symbols) by id, and when each is merged: lower ranks first, leftmost first among equals."""
 
@@ -66,8 +93,7 @@ class Merges:
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
         self._parts: dict[int, tuple[int, int] | tuple[()] | None] = {}
-        self._rows: dict[int, dict[int, bool]] = {}
-        self._known = 0
+        self._rows = _Followers(self)
 
     def merge(self, piece: str, until: int = 1) -> list[str]:
         """By definition: again and again join the leftmost adjacent pair of lowest rank."""
@@ -109,15 +135,6 @@ class Merges:
             else:
                 return True
 
-    def _fits(self, left: int, token: int) -> bool:
-        """Whether the token may follow the prefix whose last token is ``left`` (-1: none, or a symbol that no token holds)."""
-        self._known += 1
-        if self._known > CACHE_PAIRS:
-            self._rows.clear()
-            self._known = 1
-        fits = self._rows.setdefault(left, {})[token] = self.parts(token) is not None and (left < 0 or self.joins(left, token))
-        return fits
-
     def extend(self, piece: str, last: list[int]) -> list[int]:
         """The table of last tokens of ``piece``, given that of one of its prefixes.
 
@@ -126,16 +143,21 @@ class Merges:
         have = len(last)
         # Entry 0 stands for the empty prefix.
         table = [-1, *last, *[-1] * (len(piece) - have)]
-        rows, empty, done = self._rows, {}, -1
+        rows, done = self._rows, -1
         for end, (token, size) in self.automaton.iter(piece, max(0, have + 1 - self.longest)):
-            if end == done or end < have:
-                continue
-            left = table[end + 1 - size]
-            fits = rows.get(left, empty).get(token)
-            if fits is None:
-                fits = self._fits(left, token)
-            if fits:
+            if end != done and end >= have and rows[table[end + 1 - size]][token]:
                 table[end + 1] = token
                 done = end
         del table[0]
         return table
+
+    def counts(self, piece: str) -> list[int]:
+        """Numbers of tokens of all prefixes of ``piece``, from the empty one; each symbol has to be in a token."""
+        table, counts = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
+        rows, done = self._rows, -1
+        for end, (token, size) in self.automaton.iter(piece):
+            if end != done and rows[table[end + 1 - size]][token]:
+                table[end + 1] = token
+                counts[end + 1] = counts[end + 1 - size] + 1
+                done = end
+        return counts

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import accumulate, chain
+from itertools import accumulate
+from operator import add
 
 import numpy as np
 import sentencepiece
@@ -28,6 +29,10 @@ SPACE = "▁"
 _PROBES = ["", "a", " a", "  b", "A  b\tc\n", "Ａ ﬁ", SPACE + "x", "<s>y</s>", "z "]
 
 
+def _packed(counts: list[int]) -> bytes | array:
+    return bytes(counts) if len(counts) < 64 else array("i", counts)
+
+
 class Counter:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,25 +53,28 @@ class Counter:
             if self.total(probe) != len(model.encode(probe)):
                 raise ValueError(f"{path}: not a BPE model without normalisation, with a leading space and byte fallback")
 
-    def _part(self, part: str) -> array:
-        size = self.merges.size
-        counts = array("i")
-        for at, token in enumerate(self.merges.extend(part, [])):
-            step, new = (size[token], 1) if token >= 0 else (1, len(part[at].encode("utf-8", "surrogatepass")))
-            counts.append(new + (counts[at - step] if at >= step else 0))
-        return counts
+    def _part(self, part: str) -> bytes | array:
+        if len(part) == 1:
+            return bytes([1 if part in self.merges.ids else len(part.encode("utf-8", "surrogatepass"))])
+        return _packed(self.merges.counts(part)[1:])
 
-    def table(self, unit: str) -> array:
+    def table(self, unit: str) -> bytes | array:
         """Token counts of all prefixes of a unit (a word: with the mark before it), from one symbol to the whole."""
         if not unit.startswith((SPACE, "\n")):
             unit = SPACE + unit
-        together, begin, out, before = self.together, 0, array("i"), 0
-        for i in range(1, len(unit) + 1):
-            if i == len(unit) or unit[i - 1:i + 1] not in together:
-                part = self._parts[unit[begin:i]]
-                out.extend([before + n for n in part] if before else part)
-                before, begin = out[-1], i
-        return out
+        together, begin, out = self.together, 0, None
+        cuts = [i for i, two in enumerate(map(add, unit, unit[1:]), 1) if two not in together]
+        if not cuts:
+            return self._parts[unit]
+        for i in [*cuts, len(unit)]:
+            part = self._parts[unit[begin:i]]
+            begin = i
+            if out is None:
+                out = list(part)
+            else:
+                before = out[-1]
+                out += [before + n for n in part]
+        return _packed(out)
 
     def _marked(self, text: str) -> list[str]:
         """Units of the text; each starts with a space or a new line, a single space not written out."""
@@ -83,7 +91,7 @@ class Counter:
         """``counts[k]``: tokens of ``text[:k]`` encoded by itself, for k from 0 to the whole text."""
         tables = list(map(self._tables.__getitem__, self._marked(text)))
         before = accumulate((t[-1] for t in tables), initial=0)
-        parts = [np.frombuffer(t, dtype=np.int32) + b for t, b in zip(tables, before, strict=False)]
+        parts = [np.frombuffer(t, dtype=np.uint8 if isinstance(t, bytes) else np.int32).astype(np.int32) + b for t, b in zip(tables, before, strict=False)]
         out = np.concatenate(parts) if parts else np.zeros(1, dtype=np.int32)
         # Position 0 holds the added space, which an empty text does not get.
         out[0] = 0

@@ -136,6 +136,10 @@ def stream(spark, sf):
     """The events table as a file stream."""
     schema = table(spark, sf, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    return _timed(e)
+
+
+def _timed(e):
     return e.select("user_id", "event_id", "event_type", "value", seconds("ts").alias("t"), F.timestamp_micros(micros("ts")).alias("at"), micros("ts").alias("us"))
 
 
@@ -152,30 +156,71 @@ def _us(c):
     return F.unix_micros(c)
 
 
+def drain_arrivals(spark, sf, make, runs=3):
+    """What ``make(stream)`` writes when the events arrive in several runs of one query, some rows up to 50 minutes late."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    e = table(spark, sf, "events")
+    late = micros("ts") + F.pmod("event_id", F.lit(6)) * 600_000_000
+    lo, hi = e.agg(F.min(late), F.max(late)).first()
+    d = runtime.work_folder(spark)
+    e.limit(0).write.parquet(f"{d}/in/none")
+    read = spark.readStream.schema(e.schema).parquet(f"{d}/in/*")
+    df = make(_timed(read))
+    for k in range(runs):
+        e.filter(F.floor((late - lo) * runs / (hi - lo + 1)) == k).write.parquet(f"{d}/in/{k}")
+        df.writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{d}/out")
+
+
 MARK = "wm AS (SELECT max(epoch_us(ts)) - 3600000000 AS w FROM events)"  # one hour of lateness
 
 
-@query("stable_views_stream", "WITH RECURSIVE " + EVN + ", " + MARK + """,
-f AS (SELECT user_id, rn, t, value AS anchor, 1 AS v FROM evn WHERE rn = 1
- UNION ALL SELECT s.user_id, s.rn, s.t, CASE WHEN abs(f.anchor - s.value) <= 40 THEN f.anchor ELSE s.value END, CASE WHEN abs(f.anchor - s.value) <= 40 THEN f.v ELSE f.v + 1 END
- FROM f JOIN evn s ON s.user_id = f.user_id AND s.rn = f.rn + 1),
-g AS (SELECT user_id, v, min(t) AS t0, max(t) AS t1, count(*) AS n, max(max(v)) OVER (PARTITION BY user_id) AS lastv FROM f GROUP BY user_id, v)
-SELECT user_id, CAST(v AS BIGINT) AS view, t0, t1 + 3600 AS until, n AS count FROM g, wm WHERE n >= 2 AND (v < lastv OR (t1 + 86400) * 1e6 <= w)""")
+# Rows that the watermark has passed, one hour behind the last; a key ends after a day without rows.
+PASSED = """wm AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS w FROM events),
+evn AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, epoch_us(ts) // 1000 AS ms, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+ count(*) OVER (PARTITION BY user_id) AS n FROM events, wm WHERE epoch_us(ts) // 1000 <= w)"""
+VIEWS = "WITH RECURSIVE " + PASSED + """,
+f AS (SELECT user_id, rn, t, ms, value AS anchor, 1 AS v FROM evn WHERE rn = 1
+ UNION ALL SELECT s.user_id, s.rn, s.t, s.ms, CASE WHEN x.same THEN f.anchor ELSE s.value END, CASE WHEN x.same THEN f.v ELSE f.v + 1 END
+ FROM f JOIN evn s ON s.user_id = f.user_id AND s.rn = f.rn + 1, LATERAL (SELECT abs(f.anchor - s.value) <= 40 AND s.ms - f.ms <= 86400000 AS same) x),
+g AS (SELECT user_id, v, min(t) AS t0, max(t) AS t1, max(ms) AS ms, count(*) AS n, max(max(v)) OVER (PARTITION BY user_id) AS lastv FROM f GROUP BY user_id, v)
+SELECT user_id, CAST(v AS BIGINT) AS view, t0, t1 + 3600 AS until, n AS count FROM g, wm WHERE n >= 2 AND (v < lastv OR ms + 86400000 <= w)"""
+HOLDS = "WITH RECURSIVE " + PASSED + """, s AS (SELECT *, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY rn), false) AS eq FROM evn),
+f AS (SELECT user_id, rn, n, t, ms, t AS last_t, CAST(NULL AS BIGINT) AS pend, CAST(NULL AS BIGINT) AS prev, CAST(NULL AS BIGINT) AS flushed, CAST(NULL AS BIGINT) AS ended, true AS kept FROM s WHERE rn = 1
+ UNION ALL SELECT s.user_id, s.rn, s.n, s.t, s.ms, CASE WHEN h THEN f.last_t ELSE s.t END, CASE WHEN h THEN s.rn END, CASE WHEN h THEN f.pend END, CASE WHEN NOT h THEN f.pend END,
+  CASE WHEN s.ms - f.ms > 86400000 THEN f.prev END, NOT h
+ FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1, LATERAL (SELECT s.eq AND s.t - f.last_t < 86400 AS h) x),
+k AS (SELECT user_id, rn FROM f WHERE kept UNION SELECT user_id, flushed FROM f WHERE flushed IS NOT NULL UNION SELECT user_id, ended FROM f WHERE ended IS NOT NULL
+ UNION SELECT user_id, pend FROM f, wm WHERE rn = n AND pend IS NOT NULL AND ms + 86400000 <= w UNION SELECT user_id, prev FROM f, wm WHERE rn = n AND prev IS NOT NULL AND ms + 86400000 <= w)
+SELECT user_id, event_id, t, event_type FROM evn JOIN k USING (user_id, rn)"""
+
+
+def _views(e):
+    return st.stable_views_stream(e, ["user_id"], ["t", "event_id"], "t", "value", 40.0, 3600.0, event_time="at", watermark="1 hour", idle_ms=86_400_000)
+
+
+def _holds(e):
+    return st.hold_dedup_stream(e, ["user_id"], ["t", "event_id"], "t", "event_type", 86400.0, event_time="at", watermark="1 hour", idle_ms=86_400_000)
+
+
+@query("stable_views_stream", VIEWS)
 def _(spark, sf):
-    out = st.stable_views_stream(stream(spark, sf), ["user_id"], ["t", "event_id"], "t", "value", 40.0, 3600.0, event_time="at", watermark="1 hour", idle_ms=86_400_000)
-    return drain(spark, out).drop("anchor")
+    return drain(spark, _views(stream(spark, sf))).drop("anchor")
 
 
-@query("hold_dedup_stream", "WITH RECURSIVE " + EVN + ", " + MARK + """, s AS (SELECT *, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY rn), false) AS eq FROM evn),
-f AS (SELECT user_id, rn, n, t, t AS last_t, CAST(NULL AS BIGINT) AS pend, CAST(NULL AS BIGINT) AS prev, CAST(NULL AS BIGINT) AS flushed, true AS kept FROM s WHERE rn = 1
- UNION ALL SELECT s.user_id, s.rn, s.n, s.t, CASE WHEN h THEN f.last_t ELSE s.t END, CASE WHEN h THEN s.rn END, CASE WHEN h THEN f.pend END, CASE WHEN NOT h THEN f.pend END, NOT h
- FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1, LATERAL (SELECT s.eq AND s.t - f.last_t < 86400 AS h) x),
-k AS (SELECT user_id, rn FROM f WHERE kept UNION SELECT user_id, flushed FROM f WHERE flushed IS NOT NULL
- UNION SELECT user_id, pend FROM f, wm WHERE rn = n AND pend IS NOT NULL AND (t + 86400) * 1e6 <= w UNION SELECT user_id, prev FROM f, wm WHERE rn = n AND prev IS NOT NULL AND (t + 86400) * 1e6 <= w)
-SELECT user_id, event_id, t, event_type FROM evn JOIN k USING (user_id, rn)""")
+@query("stable_views_arrivals", VIEWS)
+def _(spark, sf):
+    return drain_arrivals(spark, sf, _views).drop("anchor")
+
+
+@query("hold_dedup_stream", HOLDS)
+def _(spark, sf):
+    return drain(spark, _holds(stream(spark, sf)))
+
+
+@query("hold_dedup_arrivals", HOLDS)
 def _(spark, sf):
-    out = st.hold_dedup_stream(stream(spark, sf), ["user_id"], ["t", "event_id"], "t", "event_type", 86400.0, event_time="at", watermark="1 hour", idle_ms=86_400_000)
-    return drain(spark, out)
+    return drain_arrivals(spark, sf, _holds)
 
 
 @query("hold_sessions", "WITH " + MARK + """, s AS (SELECT user_id, epoch_us(ts) AS u, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS nw FROM events),

@@ -1,8 +1,8 @@
 """Streaming forms of the sequential operators.
 
 The same rules that run as folds over stored streams run here over unbounded ones: the
-state of a rule is kept per key, rows of a trigger are put in event order, and an
-event-time timer finishes a key that has been idle.  Rows later than the watermark are
+state of a rule is kept per key, rows are folded in event order once the watermark has
+passed them, and a key that has been idle is finished.  Rows later than the watermark are
 dropped; watermark and idle limit are additions of the streaming form.
 """
 
@@ -24,7 +24,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class FoldProcessor(StatefulProcessor):
-    """Keeps (state, totals, last event time) of a fold per key."""
+    """A fold in event-time order, however rows are spread over triggers.
+
+    Rows wait in a list until the watermark has passed them; then no earlier row can come
+    any more (it would be dropped as late), and a timer folds what waited, in order.  A key
+    whose next row is more than ``idle_ms`` after its last one, or whose last row is that
+    far behind the watermark, is finished: the fold starts anew, its totals go on.  So the
+    result depends on the rows that were in time, not on triggers.
+    """
 
     def __init__(self, fold: Fold, keys: list[str], columns: list[str], cols: list[str], order: list[str], event_ms: str, idle_ms: int):
         self.fold, self.keys, self.columns, self.cols, self.order = fold, keys, columns, cols, order
@@ -32,53 +39,82 @@ class FoldProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
+        # (core, totals, last event time or None after an end, time of the earliest timer)
         self.state = handle.getValueState("fold", "data binary")
+        self.waiting = handle.getListState("waiting", "at bigint, data binary")
 
-    def _frame(self, key, out) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in out], columns=self.columns).astype(object)
+    def _load(self):
+        if self.state.exists():
+            return pickle.loads(self.state.get()[0])
+        return self.fold.start(), [0] * self.fold.counters, None, None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One trigger's rows of one key; the source's trigger limits bound their number.
-        pdf = pd.concat(rows)
-        pdf = pdf.sort_values(self.order, kind="stable")
-        if self.state.exists():
-            core, acc, _ = pickle.loads(self.state.get()[0])
-        else:
-            core, acc = self.fold.start(), [0] * self.fold.counters
-        out: list[tuple] = []
-        emit = lambda *v: out.append(v)
-        for row in pdf[self.cols].itertuples(index=False, name=None):
-            core = self.fold.step(core, acc, tuple(None if _missing(v) else v for v in row), emit)
-        last = int(pdf[self.event_ms].max())
-        self.state.update((pickle.dumps((core, acc, last)),))
-        self.handle.registerTimer(last + self.idle_ms)
-        if out:
-            yield self._frame(key, out)
+        core, acc, last, due = self._load()
+        first = None
+        for pdf in rows:
+            order, values = (pdf[c].itertuples(index=False, name=None) for c in (self.order, self.cols))
+            new = [(int(ms), pickle.dumps((_plain(o), _plain(v)))) for ms, o, v in zip(pdf[self.event_ms], order, values, strict=True)]
+            if new:
+                self.waiting.appendList(new)
+                first = min(first, *(at for at, _ in new)) if first is not None else min(at for at, _ in new)
+        if first is not None and (due is None or first < due):
+            self.handle.registerTimer(first)
+            self.state.update((pickle.dumps((core, acc, last, first)),))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        core, acc, last = pickle.loads(self.state.get()[0])
-        # A timer of an earlier trigger does not finish a key that has moved on.
-        if last + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
+        now = timerValues.getCurrentWatermarkInMs()
+        core, acc, last, due = self._load()
+        if due is None or due > now:
             return
         out: list[tuple] = []
-        self.fold.finish(core, acc, lambda *v: out.append(v))
-        self.state.clear()
+        emit = lambda *v: out.append(v)
+        ready, rest = [], []
+        for at, data in self.waiting.get():
+            (ready if at <= now else rest).append((at, data))
+        for at, _, row in sorted(((at, *pickle.loads(data)) for at, data in ready), key=lambda r: (r[0], [(v is not None, v) for v in r[1]])):
+            if last is not None and at - last > self.idle_ms:
+                self.fold.finish(core, acc, emit)
+                core = self.fold.start()
+            core, last = self.fold.step(core, acc, row, emit), at
+        if last is not None and last + self.idle_ms <= now:
+            self.fold.finish(core, acc, emit)
+            core, last = self.fold.start(), None
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        due = min((at for at, _ in rest), default=None)
+        if last is not None:
+            due = last + self.idle_ms if due is None else min(due, last + self.idle_ms)
+        if due is not None:
+            self.handle.registerTimer(due)
+        if due is None and not any(acc):
+            self.state.clear()
+        else:
+            self.state.update((pickle.dumps((core, acc, last, due)),))
         if out:
-            yield self._frame(key, out)
+            yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns).astype(object)
 
     def close(self) -> None:
         return None
 
 
+def _plain(row: tuple) -> tuple:
+    return tuple(None if _missing(v) else v for v in row)
+
+
 def _missing(v) -> bool:
     return v is None or (isinstance(v, float) and v != v)
 
 
 def fold_stream(df: DataFrame, keys, order, cols, fold: Fold, event_time: str, watermark: str, idle_ms: int) -> DataFrame:
-    """Run a fold over a streaming frame (RocksDB state store, append output)."""
-    src = df.withWatermark(event_time, watermark).withColumn("event_ms", F.unix_millis(event_time))
+    """Run a fold over a streaming frame (RocksDB state store, append output).
+
+    Rows without an event time are dropped.  The rows of one key that wait for the
+    watermark are read together when it moves on; totals of a key that has ended are kept.
+    """
+    src = df.filter(F.col(event_time).isNotNull()).withWatermark(event_time, watermark).withColumn("event_ms", F.unix_millis(event_time))
     names = list(dict.fromkeys([*keys, *cols, *order, "event_ms", event_time]))
     schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(fold.schema).fields)
     p = FoldProcessor(fold, list(keys), schema.names, list(cols), list(order), "event_ms", idle_ms)

@@ -1,4 +1,5 @@
 import json
+import random
 import tempfile
 
 import pytest
@@ -103,6 +104,28 @@ def test_streams_match_the_stored_form(spark):
         assert got == rows(q.hold_dedup(stored, KEY, ["i"], "t", "f"), "i", "f")
 
 
+def test_rows_of_several_triggers_are_folded_in_event_order(spark):
+    schema = "k string, i int, t double, sig double, f string"
+    rnd = random.Random(5)
+    data = [("a", i, 100.0 + 10 * i + rnd.random(), float(rnd.choice([0, 0, 0.02, 1])), rnd.choice("xxy")) for i in range(60)]
+    data += [("b", i, t, 0.0, "x") for i, t in enumerate([100.0, 110.0, 130.0, 140.0, 120.0, 150.0])]
+    arrival = sorted(data[:60], key=lambda r: r[2] + rnd.random() * 50)
+    batches = [arrival[at:at + 9] for at in range(0, 60, 9)]
+    batches[0] = batches[0] + data[60:64]
+    batches[1] = batches[1] + data[64:]
+    # Rows of one key only push the watermark on.
+    batches += [[("z", 99, 5000.0, 0.0, "x")], [("z", 100, 9000.0, 0.0, "x")]]
+    stored = spark.createDataFrame(data, schema)
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        src = feed(spark, folder, batches, schema).withColumn("at", F.timestamp_seconds("t"))
+        views = st.stable_views_stream(src, KEY, ["t"], "t", "sig", 0.035, 10.0, event_time="at", watermark="10 minutes", idle_ms=60_000, k=1)
+        want = rows(q.stable_views(stored, KEY, ["t"], "t", "sig", 0.035, 10.0), "k", "view", "t0", "until", "count")
+        assert rows(run(spark, views, folder, "views").filter("k <> 'z'"), "k", "view", "t0", "until", "count") == want
+        holds = st.hold_dedup_stream(src, KEY, ["t"], "t", "f", 45.0, event_time="at", watermark="10 minutes", idle_ms=60_000)
+        want = rows(q.hold_dedup(stored, KEY, ["t"], "t", "f", 45.0), "k", "i", "f")
+        assert rows(run(spark, holds, folder, "holds").filter("k <> 'z'"), "k", "i", "f") == want
+
+
 def test_progress_stream(spark):
     schema = "k string, i int, t double, phase string"
     with tempfile.TemporaryDirectory(prefix="run-") as folder:

@@ -1,5 +1,8 @@
 """Document, bundle, snapshot and streaming queries."""
 
+import re
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from bindings import query, table
@@ -124,6 +127,34 @@ def _(spark, sf):
     return s.usage_snapshots(spark, folder + "/*/*/*", pattern="job=([^/]+)/name=([^/]+)/").drop("observed_at")
 
 
+def _put(folder):
+    """Write rows (name, text) as files of these names, over older versions."""
+    def put(rows):
+        system, base = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            path = f"{base}/{r.name}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(r.text.encode())
+    return put
+
+
+@query("usage_snapshots_versions", """WITH c AS (SELECT conv_id::VARCHAR || '-' || turn AS job, CASE WHEN role = 'assistant' THEN 'checkpoint.json' WHEN role = 'system' THEN 'review.json' WHEN turn > 4 THEN 'cancelled-draft.aiscore.json' ELSE 'notes.txt' END AS name, text FROM conversations)
+SELECT job, name, CASE WHEN v = 2 AND name = 'checkpoint.json' AND length(text) % 7 > 0 THEN len(string_split(text, chr(10)))::INTEGER END AS saved_bars, name = 'review.json' AS finished, name = 'cancelled-draft.aiscore.json' AS cancelled
+FROM c, (SELECT unnest([1, 2]) AS v)""")
+def _(spark, sf):
+    # All files half written, then each written again, as the jobs go on.
+    files = job_files(spark, sf).select(F.concat_ws("-", "job", "turn").alias("job"), "name", "text")
+    named = F.concat_ws("/", "job", "name").alias("name")
+    d = re.sub("^file:/*", "/", runtime.work_folder(spark))
+    folder = d if "://" in d else f"file://{d}"
+    df = s.usage_snapshots(spark, f"{folder}/jobs", streaming=True)
+    for text in (F.substring("text", 1, 8), F.col("text")):
+        files.select(named, text.alias("text")).foreachPartition(_put(f"{folder}/jobs"))
+        df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out").drop("observed_at")
+
+
 @query("append_captures", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, 0 AS view FROM events")
 def _(spark, sf):
     return s.append_captures(table(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsflow.plans.ordered import Ordered, row_number
+from obsflow.sources.files import FileVersions
 
 # Document fields, limits and texts.
 LINE = ("path:string,time:double,view:int,included:boolean,source_path:string,crop:array<double>,original_path:string,"
@@ -104,18 +105,20 @@ def snapshots_of(files: DataFrame) -> DataFrame:
                                     F.bool_or(F.col("name") == "cancelled-draft.aiscore.json").alias("cancelled"))
 
 
-def usage_snapshots(spark: SparkSession, path: str, streaming: bool = False, pattern: str = r"([^/]+)/([^/]+)$") -> DataFrame:
+def usage_snapshots(spark: SparkSession, path: str, streaming: bool = False, pattern: str = r"([^/]+)/([^/]+)$", settle: float = 0) -> DataFrame:
     """Snapshots of a directory of job folders; as a stream, one row per new file version.
 
-    ``pattern`` finds the job and the file's name in a path.
+    ``pattern`` finds the job and the file's name in a path.  As a stream a file comes again
+    whenever it is rewritten, so one that was half written (null ``saved_bars``) is retried.
     """
     if streaming:
-        raw = spark.readStream.schema("value string").option("wholetext", True).text(path)
+        spark.dataSource.register(FileVersions)
+        raw = spark.readStream.format(FileVersions.name()).option("path", path).option("settle", settle).load()
+        p, at, text = F.col("path"), F.col("observed_at"), F.col("text")
     else:
         raw = spark.read.text(path, wholetext=True)
-    p = F.col("_metadata.file_path")
-    files = raw.select(F.regexp_extract(p, pattern, 1).alias("job"), F.regexp_extract(p, pattern, 2).alias("name"), F.col("value").alias("text"),
-                       F.col("_metadata.file_modification_time").alias("observed_at"))
+        p, at, text = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time"), F.col("value")
+    files = raw.select(F.regexp_extract(p, pattern, 1).alias("job"), F.regexp_extract(p, pattern, 2).alias("name"), text.alias("text"), at.alias("observed_at"))
     if streaming:
         saved = F.size(F.from_json("text", CHECKPOINT, {"mode": "PERMISSIVE"})["bars"])
         return files.select("job", "name", "observed_at", F.when((F.col("name") == "checkpoint.json") & (saved >= 0), saved).alias("saved_bars"),

@@ -1,4 +1,5 @@
 import json
+import pathlib
 import random
 import tempfile
 
@@ -68,6 +69,27 @@ def test_snapshots_of_half_written_jobs(spark):
             assert rows(seen.filter("name = 'checkpoint.json'"), "job", "saved_bars") == [("one", 2), ("two", None)]
 
 
+def test_rewritten_files_come_again(spark):
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        def put(job, name, text):
+            path = pathlib.Path(folder, "jobs", job, name)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text)
+            return path
+
+        def seen():
+            return sorted(((r.job, r.name, r.saved_bars) for r in run(spark, s.usage_snapshots(spark, f"{folder}/jobs/*", streaming=True), folder, "seen").collect()), key=str)
+
+        half = put("one", "checkpoint.json", '{"bars": [1')
+        put("two", "checkpoint.json", '{"bars": []}')
+        put("two", "_other", "hidden")
+        first = [("one", "checkpoint.json", None), ("two", "checkpoint.json", 0)]
+        assert seen() == first and seen() == first
+        half.write_text('{"bars": [1, 2, 3]}')
+        put("three", "review.json", "{}")
+        assert set(seen()) == {*first, ("one", "checkpoint.json", 3), ("three", "review.json", None)}
+
+
 def test_captures_continue_the_numbering(sized):
     old = sized.createDataFrame([("k", 1), ("k", 2)], "k string, seq long")
     new = sized.createDataFrame([("k", 5), ("k", 5), ("j", 1)], "k string, at int").withColumn("id", F.monotonically_increasing_id())
@@ -122,8 +144,8 @@ def test_rows_of_several_triggers_are_folded_in_event_order(spark):
         want = rows(q.stable_views(stored, KEY, ["t"], "t", "sig", 0.035, 10.0), "k", "view", "t0", "until", "count")
         assert rows(run(spark, views, folder, "views").filter("k <> 'z'"), "k", "view", "t0", "until", "count") == want
         holds = st.hold_dedup_stream(src, KEY, ["t"], "t", "f", 45.0, event_time="at", watermark="10 minutes", idle_ms=60_000)
-        want = rows(q.hold_dedup(stored, KEY, ["t"], "t", "f", 45.0), "k", "i", "f")
-        assert rows(run(spark, holds, folder, "holds").filter("k <> 'z'"), "k", "i", "f") == want
+        want = rows(q.hold_dedup(stored, KEY, ["t"], "t", "f", 45.0), "k", "t", "f")
+        assert rows(run(spark, holds, folder, "holds").filter("k <> 'z'"), "k", "t", "f") == want
 
 
 def test_progress_stream(spark):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from obsflow.operators import account as a
 from obsflow.operators import edits as e
 from obsflow.operators import layout as y
+from obsflow.operators import pieces
 
 KEY = ["k"]
 
@@ -171,3 +174,58 @@ def test_moves(sized):
     mv = lambda *m: sized.createDataFrame([("k", i, *x) for i, x in enumerate(m)], "k string, o int, line int, before int")
     order = lambda m: [r[1] for r in rows(e.move_before(lines, m, KEY, "line", "line", "before", "o"), "seq", "line")]
     assert order(mv((3, 1))) == [3, 1, 2] and order(mv((1, 0))) == [2, 3, 1] and order(mv((1, 0), (9, 1))) == [1, 2, 3]
+
+
+def test_runs_of_positions_against_plain_lists():
+    for seed in range(150):
+        rnd = random.Random(seed)
+        n = rnd.randrange(0, 12)
+        table, plain = pieces.PieceTable(n), [(i, 0) for i in range(n)]
+        for _ in range(50):
+            k = rnd.random()
+            if plain and k < 0.4:
+                i = rnd.randrange(len(plain))
+                assert table.remove(i) == plain.pop(i)
+            elif k < 0.8:
+                i, item = rnd.randrange(len(plain) + 1), (rnd.randrange(12), rnd.randrange(3))
+                table.insert(i, item)
+                plain.insert(i, item)
+            elif plain:
+                i = rnd.randrange(len(plain))
+                assert table.get(i) == plain[i]
+        assert [(f + j, m) for _, first, size, mark in table.runs() for f, s, m in zip(first, size, mark) for j in range(s)] == plain
+        n = rnd.randrange(1, 9)
+        moved, plain = pieces.MovedRuns(n), list(range(n))
+        for _ in range(20):
+            a = rnd.randrange(n)
+            b = rnd.choice([None, *(x for x in range(n) if x != a)])
+            moved.move(a, b)
+            plain.remove(a)
+            plain.insert(len(plain) if b is None else plain.index(b), a)
+        assert [f + j for f, s in moved.runs() for j in range(s)] == plain
+
+
+def test_many_edits_of_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "RUNS", 16)
+    rnd, n = random.Random(4), 20_000
+    lines = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("i"), (F.col("id") * 3).alias("t"))
+    plain, log = list(range(0, 3 * n, 3)), []
+    for s in range(3000):
+        i = rnd.randrange(len(plain))
+        if s % 3:
+            log.append(("k", s, "remove", i, None, None))
+            plain.pop(i)
+        else:
+            log.append(("k", s, "duplicate", i, None, None))
+            plain.insert(i + 1, plain[i])
+    out = e.replay_edits(lines, spark.createDataFrame(log, "k string, s int, op string, index int, direction int, included boolean"), KEY, ["i"], "t", ["s"])
+    assert [r.line for r in out.orderBy("seq").collect()] == plain
+
+
+def test_replayed_marks_and_projects_without_a_log(spark):
+    lines = spark.createDataFrame([(k, i, i) for k in ("a", None) for i in range(3)], "k string, i int, t int")
+    log = spark.createDataFrame([("a", 1, "include", 1, None, False), ("a", 2, "remove", 1, None, None), ("a", 3, "undo", None, None, None), ("a", 4, "include", 2, None, None), ("x", 5, "remove", 0, None, None)],
+                                "k string, s int, op string, index int, direction int, included boolean")
+    got = sorted(map(tuple, e.replay_edits(lines, log, KEY, ["i"], "t", ["s"]).collect()), key=str)
+    want = [("a", "line", 0, 0, True), ("a", "line", 1, 1, False), ("a", "line", 2, 2, None), *[(None, "line", i, i, True) for i in range(3)], ("x", "rejected", 5, None, None)]
+    assert got == sorted(want, key=str)

@@ -1,6 +1,6 @@
 """Frequent phrases of each language and how strongly their words belong together.
 
-Texts are dealt into blocks.  In a block, numpy prefix polynomials hash all words and then
+Texts are dealt in compressed chunks into blocks, once.  In a block, numpy prefix polynomials hash all words and then
 all runs of n words: a fingerprint of 64 bits and a check of 32.  Level by level, from one
 word to the longest phrases, the distinct fingerprints of the blocks meet in buckets, which
 add up their counts and tell each block which of its phrases are frequent; the next level
@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ _KIND[list(b" \t")] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# Text bytes of a chunk (or one document) and its most documents.
+CHUNK, CHUNK_ROWS = 512 << 10, 512
+_CHUNKS = "docs binary"
 _BLOBS = "level int, bucket int, block bigint, fps binary, checks binary, counts binary"
 _MARKS = "level int, block bigint, fps binary, own binary, own_checks binary, own_counts binary"
 _FOUND = "level int, fp bigint, check long, lang string, phrase string, a bigint"
@@ -79,6 +83,29 @@ def _spans(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) ->
     return (prefix[end] - prefix[start]) * inverse[start]
 
 
+def _chunks(batches):
+    """Rows ``text, lang`` as compressed chunks of some rows each."""
+    def packed(rows: pa.RecordBatch):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["docs"])
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right"))))
+            yield packed(batch.slice(at, to - at))
+            at = to
+
+
+def _words(chunks: pa.Table) -> Words:
+    docs = [pa.ipc.open_stream(c.as_py()).read_all() for c in chunks.column("docs")]
+    both = pa.concat_tables(docs) if docs else pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
+    return Words(both.column(0), both.column(1))
+
+
 class Words:
     """The words of some texts: where they are, which piece of a text they are in, their hashes."""
 
@@ -99,7 +126,8 @@ class Words:
         self.end = np.flatnonzero(inside & ~joined[1:]) + 1
         self.text = _LOWER[data]
         doc = np.searchsorted(at, self.start, side="right") - 1
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[self.start] + doc if len(data) else doc
+        self.piece = (np.searchsorted(np.flatnonzero(kind == 2), self.start) + doc).astype(np.int32)
+        del kind, inside, heads, joined
         names, code = np.unique(np.array(langs.to_pylist(), dtype=object).astype(str), return_inverse=True) if len(t) else (np.array([], dtype=str), doc)
         self.langs, self.lang = names.tolist(), code[doc].astype(np.int32) if len(doc) else doc
         seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], dtype=np.uint64)
@@ -162,7 +190,7 @@ class _Level:
     def sent(self, docs: pa.Table, marks: pa.Table | None) -> pa.Table:
         """The block's distinct phrases with their counts, a row for each bucket."""
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
-        words = Words(docs.column("text"), docs.column("lang"))
+        words = _words(docs)
         at, fp, check = self.phrases(words, self.n)
         if marks is not None:
             before, shorter, _ = self.phrases(words, self.n - 1)
@@ -228,7 +256,7 @@ def _table(rows: list[tuple]) -> pa.Table:
 def _spell(level: _Level, longest: int):
     """Text of the phrases that a block has to spell out; as level 0 its words by language."""
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        words = Words(docs.column("text"), docs.column("lang"))
+        words = _words(docs)
         rows = [(0, 0, 0, words.langs[k], "", int(n)) for k, n in enumerate(np.bincount(words.lang, minlength=len(words.langs))) if n]
         levels = marks.column("level").to_numpy()
         for n in range(1, longest + 1):
@@ -257,7 +285,7 @@ def _spell(level: _Level, longest: int):
 def _recount(level: _Level, bad: dict[int, np.ndarray]):
     """Occurrences by text of all phrases with one of the given fingerprints."""
     def run(docs: pa.Table) -> pa.Table:
-        words = Words(docs.column("text"), docs.column("lang"))
+        words = _words(docs)
         rows = []
         for n, fps in bad.items():
             at, fp, _ = level.phrases(words, n)
@@ -267,6 +295,19 @@ def _recount(level: _Level, bad: dict[int, np.ndarray]):
     return run
 
 
+def _placed(chunks: DataFrame, n_blocks: int) -> DataFrame:
+    """The chunks dealt by block and materialised so that later steps by block find them in place."""
+    conf = chunks.sparkSession.conf
+    parts = min(n_blocks, int(conf.get("spark.sql.shuffle.partitions")))
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    # An adaptive plan does not say how its result is partitioned; a step by block would deal it again.
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return runtime.checkpoint(chunks.repartition(parts, "block"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, bits: tuple[int, int] = (64, 32)) -> DataFrame:
     """``lang, words, phrase, a``: phrases of 1 to ``longest`` words that occur ``min_count`` times; as 0 words all words.
 
@@ -277,8 +318,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block))
-    parts = min(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = runtime.checkpoint(d.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks))).repartition(parts, "block"))
+    blocks = _placed(d.mapInArrow(_chunks, _CHUNKS).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks))), n_blocks)
     by_block, marks, every = blocks.groupBy("block"), None, None
     for n in range(1, longest + 1):
         level = _Level(n, n_blocks, min_count, bits)

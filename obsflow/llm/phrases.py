@@ -8,8 +8,8 @@ hashes only phrases whose two shorter parts both are.  Neither a block nor a buc
 phrase occurs: a block sends each phrase once.
 
 Only frequent phrases become text.  The first and the last block that hold a fingerprint
-both spell it out; where the two texts differ, all phrases of that fingerprint are counted
-again by their text.  Phrases that agree in all 96 bits and are not told apart by these two
+both spell out its first and last place in them; where these texts differ, all phrases of that fingerprint are counted
+again by their text.  Phrases that agree in all 96 bits and are not told apart by these
 texts would be counted as one; among n distinct ones that is expected n * n / 2**97 times.
 """
 
@@ -33,7 +33,7 @@ TOP = 2000
 # Percentage of its occurrences inside a longer phrase from which a phrase is dropped.
 INSIDE = 80
 # Text bytes of a block; there are as many buckets as blocks.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 # Bytes hashed at a time.
 STRETCH = 1 << 20
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -270,9 +270,12 @@ def _spell(level: _Level, longest: int):
             k = np.searchsorted(own, fp)
             while len(at):
                 hit = checks[k] == check
-                found, one = np.unique(k[hit], return_index=True)
-                for j, a in zip(found.tolist(), at[hit][one].tolist(), strict=True):
-                    rows.append((n, int(own[j].view(np.int64)), int(checks[j]), words.langs[words.lang[a]], words.spelled(a, n), int(counts[j])))
+                places = at[hit]
+                found, first = np.unique(k[hit], return_index=True)
+                last = np.unique(k[hit][::-1], return_index=True)[1]
+                for j, a, z in zip(found.tolist(), places[first].tolist(), places[::-1][last].tolist(), strict=True):
+                    for text in sorted({(words.langs[words.lang[x]], words.spelled(x, n)) for x in (a, z)}):
+                        rows.append((n, int(own[j].view(np.int64)), int(checks[j]), *text, int(counts[j])))
                 # The rest has the fingerprint but another check.
                 at, fp, check, k = at[~hit], fp[~hit], check[~hit], k[~hit] + 1
                 more = k < len(own)

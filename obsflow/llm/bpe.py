@@ -1,9 +1,7 @@
 """Byte-level BPE by prefix dynamic programming.
 
 For every prefix of a piece the table keeps the last token of the prefix's only valid
-encoding.  A token ends the encoding of a prefix when it is a suffix of it and the last
-token of what stands before it may be followed by it, that is, when encoding the two
-tokens' bytes gives those two tokens again.  The table of a prefix never changes when
+encoding (``prefixes``).  The table of a prefix never changes when
 bytes are appended, so appends continue it, and after an edit it is recomputed only from
 the edit to the point where it agrees with the old one again.
 """
@@ -17,83 +15,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsflow.llm.prefixes import Merges, Recent
 from obsflow.llm.texts import map_rows, worker_state
 
-# Pieces (and pairs of tokens) a worker remembers before it starts again.
-CACHE = 200_000
-
-
-class _Pieces(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[piece] = self.encode(piece)
-        return got
-
 
 class Vocabulary:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.longest = max(map(len, self.ranks), default=0)
+        self.merges = Merges({t.decode("latin-1"): i for t, i in self.ranks.items()})
+        self.longest = self.merges.longest
         self.split = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
         self.texts = {i: str(i) for i in self.bytes_of}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-        self._pieces = _Pieces(self.encode_piece)
+        self._pieces = Recent(self.encode_piece)
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE as defined: again and again join the leftmost adjacent pair of lowest rank."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min(((self.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if best == 1 << 40:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def reached(self, token: int) -> bool:
-        """Whether merging the token's bytes gives the token."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merge(self.bytes_of[token]) == [token]
-        return known
-
-    def joins(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > CACHE:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+        return [self.ranks[p.encode("latin-1")] for p in self.merges.merge(piece.decode("latin-1"))]
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Fill the table `last` of a prefix of ``piece`` up to the whole piece; -1: no token fits."""
-        find, longest, pairs, joins, reached = self.ranks.get, self.longest, self._pairs.get, self.joins, self.reached
-        for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = find(piece[begin:end])
-                if token is None:
-                    continue
-                if begin:
-                    left = last[begin - 1]
-                    fits = pairs((left, token))
-                    if fits or fits is None and left >= 0 and reached(token) and joins(left, token):
-                        last.append(token)
-                        break
-                elif reached(token):
-                    last.append(token)
-                    break
-            else:
-                last.append(-1)
-        return last
+        return self.merges.extend(piece.decode("latin-1"), last)
 
     def walk(self, last: list[int]) -> list[int] | None:
         """The tokens of the whole table, from its end to its start."""

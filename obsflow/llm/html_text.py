@@ -24,6 +24,7 @@ _VOID = frozenset("area base basefont bgsound br col embed hr img input link met
 # What can stand in a head; anything else ends it, as its end tag may be left out.
 _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _AWAY = {"nav": "nav", "footer": "foot", "aside": "side", "form": "form", "dialog": "notice", "menu": "nav", "search": "form", "fieldset": "form"}
+_ASIDE = frozenset("nav footer aside dialog".split())
 # Words in class, id and role that say what an element is for.
 _HINTS = {
     "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toc skip toolbar tabs",
@@ -50,6 +51,8 @@ BLOCKS = [
     (3, 0.0, 80, 0.1, 45, 0.0, 1, 0, 0, 1), (45, 0.0, 3, 0.0, 6, 0.0, 1, 0, 0, 1), (1, 0.0, 7, 0.0, 1, 0.0, 1, 0, 0, 1), (2, 0.0, 1, 1.0, 400, 0.0, 1, 0, 1, 1),
     (150, 0.3, 20, 0.0, 90, 0.0, 1, 0, 0, 1), (5, 0.0, 6, 1.0, 4, 0.5, 1, 0, 0, 1), (14, 0.5, 40, 0.0, 30, 0.0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
     (6, 0.0, 300, 0.0, 5, 0.0, 1, 0, 0, 1), (700, 0.02, 9, 0.0, 9, 0.2, 1, 0, 0, 1), (25, 0.9, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (8, 1.0, 50, 0.0, 40, 0.0, 1, 0, 0, 1),
+    # mostly a link, between text
+    (6, 0.83, 40, 0.0, 30, 0.0, 1, 0, 0, 1), (4, 0.75, 25, 0.0, 0, 0.0, 1, 0, 0, 1), (6, 0.83, 12, 0.0, 14, 0.0, 1, 0, 0, 1), (3, 1.0, 40, 0.0, 30, 0.0, 1, 0, 0, 1), (5, 0.8, 9, 0.0, 60, 0.0, 1, 0, 0, 1),
     # the same between link lists
     (9, 0.0, 4, 1.0, 30, 0.0, 1, 0, 1, 1), (6, 0.0, 5, 1.0, 12, 0.0, 1, 0, 1, 1), (20, 0.0, 1, 1.0, 4, 1.0, 1, 0, 0, 1), (3, 0.0, 2, 1.0, 25, 0.0, 1, 0, 1, 1), (50, 0.1, 3, 1.0, 2, 1.0, 1, 0, 0, 1),
     (8, 0.0, 6, 1.0, 1, 0.0, 1, 0, 0, 1), (110, 0.0, 8, 1.0, 5, 1.0, 1, 0, 0, 1), (2, 0.0, 30, 0.0, 3, 1.0, 1, 0, 0, 1), (16, 0.2, 45, 0.0, 6, 1.0, 1, 0, 0, 1), (33, 0.0, 12, 1.0, 20, 1.0, 1, 0, 0, 1),
@@ -132,10 +135,15 @@ def _kind(name: str, attr: str) -> str | None:
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """Blocks of a page: text, words, linked words, inside main, enclosure, heading."""
     out: list[tuple[str, int, int, int, int, int]] = []
-    open_: list[tuple[str, str | None]] = []
+    # Open elements: tag, kind, number.
+    open_: list[tuple[str, str | None, int]] = []
+    # Elements with a kind: kind, the numbers of those around it and itself, whether its tag sets it aside.
+    known: list[tuple[str, tuple[int, ...], bool]] = []
+    held: list[tuple[int, ...]] = []
     text: list[str] = []
-    linked = link = silent = 0
-    heading = 0
+    # Blocks that are headings of the first level.
+    titles: set[int] = set()
+    linked = link = silent = heading = first_level = 0
 
     def close():
         nonlocal linked
@@ -143,13 +151,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             words = html.unescape("".join(text)).split()
             text.clear()
             if words:
-                kinds = [k for _, k in open_ if k]
-                away = [k for k in kinds if k != "main"]
-                # A header inside the main part holds the article's title.
-                if "main" in kinds:
-                    first = kinds.index("main")
-                    away = [k for i, k in enumerate(kinds) if k != "main" and not (k == "head" and i > first)]
-                out.append((" ".join(words), len(words), min(linked, len(words)), int("main" in kinds), _ENCLOSURE[away[-1]] if away else 0, heading))
+                if first_level:
+                    titles.add(len(out))
+                held.append(tuple(n for _, k, n in open_ if k))
+                out.append((" ".join(words), len(words), min(linked, len(words)), 0, 0, heading))
         linked = 0
 
     def say(piece: str):
@@ -181,18 +186,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 link = max(0, link - 1)
             if name in _BLOCK:
                 close()
-                heading = 0
+                link = heading = first_level = 0
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == name:
-                    silent -= sum(k == "hidden" for _, k in open_[i:])
+                    silent -= sum(o[1] == "hidden" for o in open_[i:])
                     del open_[i:]
                     break
             continue
         if silent and name not in _HEAD:
             end_head()
         if name in _BLOCK:
+            # Links end at the borders of blocks, so one that is never closed takes no more than its block.
             close()
-            heading = int(name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            link = 0
+            heading, first_level = int(name in ("h1", "h2", "h3", "h4", "h5", "h6")), int(name == "h1")
         elif name == "br":
             say(" ")
         elif name == "a":
@@ -204,7 +211,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     silent -= open_.pop()[1] == "hidden"
             if m["attr"].endswith("/") and name not in _BLOCK:
                 continue
-            open_.append((name, kind))
+            open_.append((name, kind, len(known)))
+            if kind:
+                known.append((kind, tuple(n for _, k, n in open_ if k), name in _ASIDE))
             silent += kind == "hidden"
         elif name in ("p", "li"):
             while open_ and open_[-1][0] == name:
@@ -213,6 +222,43 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         end_head()
     say(page[at:])
     close()
+    return _placed(out, held, known, titles)
+
+
+def _placed(found: list[tuple], held: list[tuple[int, ...]], known: list[tuple[str, tuple[int, ...], bool]], titles: set[int]) -> list[tuple]:
+    """Blocks with what encloses them.
+
+    The page's main part is the element of that kind with the most words (not in a sidebar
+    and the like, if another is).  What encloses it says nothing about it, nor does what
+    holds most words of the main part, or of a page without one, unless it holds
+    comments and not the page's title.
+    """
+    words = [0] * len(known)
+    for b, around in zip(found, held, strict=True):
+        for n in around:
+            words[n] += b[1]
+    parts = [n for n, (kind, _, _) in enumerate(known) if kind == "main" and words[n]]
+    part = max(parts, key=lambda n: (not any(known[o][2] for o in known[n][1]), words[n], -n), default=None)
+    all_words = sum(b[1] for b in found)
+    titled = {n for i in titles for n in held[i]}
+    wraps = set(known[part][1]) if part is not None else set()
+
+    def counts(n: int) -> bool:
+        kind, around, _ = known[n]
+        if n in wraps or kind == "main":
+            return False
+        if kind == "comment" and n not in titled:
+            return True
+        within = words[part] if part in around else all_words if part is None else None
+        return within is None or 2 * words[n] <= within
+
+    away = {n for n in range(len(known)) if counts(n)}
+    out = []
+    for b, around in zip(found, held, strict=True):
+        first = next((i for i, n in enumerate(around) if known[n][0] == "main"), None)
+        # A header inside a main part holds the article's title.
+        kinds = [known[n][0] for i, n in enumerate(around) if n in away and not (known[n][0] == "head" and first is not None and i > first)]
+        out.append((*b[:3], int(first is not None), _ENCLOSURE[kinds[-1]] if kinds else 0, b[5]))
     return out
 
 

@@ -2,7 +2,7 @@
 
 Documents are counted by source, language and topic into cells.  The cells' tokens are
 raked: scaled to the target share of each value of one margin after the other, again and
-again.  A document is kept with a probability proportional to its cell's raked over its
+again, until the margins are met.  A document is kept with a probability proportional to its cell's raked over its
 observed tokens, scaled so that the expected sample has a given share of all tokens and
 capped at 1; the same id always gets the same decision.
 """
@@ -12,15 +12,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsflow.llm.quality import SPACE
 from obsflow.plans import runtime
 
 MARGINS = ["source", "lang", "topic"]
-ROUNDS = 12
-# Rounds between two checkpoints.
+# Largest error of a margin, relative to its target.
+TOLERANCE = 1e-9
+# Rounds between two looks at the margins; a checkpoint follows each round.
 STRIDE = 4
 # What a text contains says its topic; the first that fits.
 TOPICS = [("legal", "License"), ("table", " | "), ("markup", "***"), ("markup", "$$$"), ("contact", "@"), ("secret", "token = ")]
@@ -36,60 +37,99 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), lambda x: x != "")).cast("bigint")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+def _topic(text_col: str, topic_of: Column | None) -> Column:
+    return topic(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) if topic_of is None else topic_of.cast("string")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_of: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
-                       topic(text).alias("topic"), n_words(text).alias("n_tokens"))
+                       _topic(text_col, topic_of).alias("topic"), n_words(text).alias("n_tokens"))
 
 
 def tempered(cells: DataFrame, margins: list[str], power: float = TEMPER) -> DataFrame:
     """``margin, value, share``: targets that flatten the observed shares by a power below 1."""
     long = cells.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), "tokens") for m in margins])).alias("x")).select("x.*")
-    per = long.groupBy("margin", "value").agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("s"))
-    return per.select("margin", "value", (F.col("s") / F.sum("s").over(Window.partitionBy("margin"))).alias("share"))
+    per = runtime.checkpoint(long.groupBy("margin", "value").agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("s")))
+    return per.join(per.groupBy("margin").agg(F.sum("s").alias("all")), "margin").select("margin", "value", (F.col("s") / F.col("all")).alias("share"))
+
+
+def _sums(cells: DataFrame, m: str, *sums: Column) -> tuple[DataFrame, Column]:
+    """Sums over the cells of each value of a margin, and how cells find them."""
+    per = cells.groupBy(F.col(m).alias("_value")).agg(*sums)
+    return per, cells[m].eqNullSafe(F.col("_value"))
 
 
-def raked(cells: DataFrame, targets: DataFrame, margins: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (margins, tokens) with ``raked`` tokens whose margins have the target shares.
+def raked(cells: DataFrame, targets: DataFrame, margins: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (margins, tokens) with ``raked`` tokens whose margins have the target shares, and ``margin_error``.
 
     A value without a target keeps its observed share; shares are scaled to one.  Cells
-    without tokens stay at zero.  There are as many cells as combinations of values that
-    occur, not as documents.
+    without tokens stay at zero.  Rounds go on until no margin is off its target by more
+    than ``tolerance`` of it, or, where targets conflict, until ``STRIDE`` rounds bring the
+    largest error down by less than a hundredth; ``margin_error`` is that error, the same
+    on all cells, and ``margin_report`` says where it is.  There are as many cells as
+    combinations of values that occur, not as documents.
     """
-    out = cells.withColumn("raked", F.col("tokens").cast("double")).withColumn("total", F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(F.lit(1))))
+    total = float(cells.agg(F.sum(F.col("tokens").cast("double"))).first()[0] or 0)
+    out = cells.withColumns({"raked": F.col("tokens").cast("double"), "total": F.lit(total)})
     for m in margins:
-        t = targets.filter(F.col("margin") == m).select(F.col("value").alias("_value"), F.col("share").alias(f"to_{m}"))
-        seen = F.sum("tokens").over(Window.partitionBy(m)) / F.col("total")
-        out = out.join(t, F.col(m).eqNullSafe(F.col("_value")), "left").drop("_value").withColumn(f"to_{m}", F.coalesce(f"to_{m}", seen))
+        t = targets.filter(F.col("margin") == m).select(F.col("value").alias("_value"), F.col("share").alias("_share"))
+        seen, same = _sums(out, m, F.sum("tokens").alias("_seen"))
         # One share for each value, whatever the number of its cells.
-        each = F.col(f"to_{m}") / F.count("*").over(Window.partitionBy(m))
-        out = out.withColumn("_each", each).withColumn(f"to_{m}", F.col(f"to_{m}") / F.sum("_each").over(Window.partitionBy(F.lit(1)))).drop("_each")
+        each = seen.join(t.withColumnRenamed("_value", "_wanted"), F.col("_value").eqNullSafe(F.col("_wanted")), "left").select("_value", F.coalesce("_share", F.col("_seen") / total if total else F.lit(0.0)).alias("_share"))
+        every = each.agg(F.sum("_share")).first()[0] or 1.0
+        out = out.join(each, same, "left").drop("_value").withColumn(f"to_{m}", F.col("_share") / every).drop("_share")
     out = runtime.checkpoint(out)
-    for r in range(rounds):
-        for m in margins:
-            now = F.sum("raked").over(Window.partitionBy(m))
-            out = out.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"to_{m}") * F.col("total") / now).otherwise(0.0))
-        if (r + 1) % STRIDE == 0 or r == rounds - 1:
+    error = None
+    while True:
+        for _ in range(STRIDE):
+            for m in margins:
+                now, same = _sums(out, m, F.sum("raked").alias("_now"))
+                out = out.join(now, same, "left").drop("_value").withColumn("raked", F.when(F.col("_now") > 0, F.col("raked") * F.col(f"to_{m}") * F.col("total") / F.col("_now")).otherwise(0.0)).drop("_now")
             out = runtime.checkpoint(out)
-    return out.select(*margins, "tokens", "raked", "total")
+        last, error = error, _largest_error(out, margins)
+        if error <= tolerance or last is not None and error > 0.99 * last:
+            return out.withColumn("margin_error", F.lit(error))
+
+
+def _errors(out: DataFrame, margins: list[str]) -> DataFrame:
+    """``margin, value, share, reached, error`` of every value; the error is relative to the share, or absolute without one."""
+    long = out.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value"), F.col(f"to_{m}").alias("share")) for m in margins])).alias("x"), "raked", "tokens", "total").select("x.*", "raked", "tokens", "total")
+    per = long.groupBy("margin", "value", "share").agg(F.sum("raked").alias("r"), F.sum("tokens").alias("n"), F.first("total").alias("total")).filter("total > 0 and n > 0")
+    reached = F.col("r") / F.col("total")
+    return per.select("margin", "value", "share", reached.alias("reached"), (F.abs(reached - F.col("share")) / F.when(F.col("share") > 0, F.col("share")).otherwise(1.0)).alias("error"))
+
+
+def _largest_error(out: DataFrame, margins: list[str]) -> float:
+    return float(_errors(out, margins).agg(F.max("error")).first()[0] or 0.0)
+
+
+def margin_report(cells: DataFrame, margins: list[str]) -> DataFrame:
+    """``margin, value, share, reached, error`` of raked cells: which targets were met, and how far off the others are.
+
+    Values without tokens are left out; only their target tells them from others.
+    """
+    return _errors(cells, margins)
 
 
 def calibrated(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """``cells`` (tokens, raked, total) with ``weight``, raked over observed, and ``probability``.
 
-    The scale is the one at which expected tokens are ``share`` of all: with cells by
-    descending weight, the first at which capping all before it leaves it at most 1.
+    The scale is the one at which expected tokens are ``share`` of all.  It starts as if no
+    cell were capped; cells that pass 1 then count in full and the scale is taken from
+    the others, until no more pass.  Each step is two sums.
     """
-    weight = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)
-    c = cells.withColumn("weight", weight)
-    # Cells only: one row for each combination of values.
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("weight"), *[F.col(x).asc_nulls_first() for x in cells.columns if x not in ("tokens", "raked", "total")])
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("raked").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    c = c.withColumn("scale", F.when(rest > 0, (share * F.col("total") - before) / rest))
-    fit = F.when((F.col("scale") * F.col("weight") <= 1) & (F.col("scale") >= 0), F.col("scale"))
-    c = c.withColumn("scale", F.first(fit, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return c.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.col("scale") * F.col("weight")), F.lit(1.0))).drop("scale")
+    c = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0))
+    scale = 0.0
+    while True:
+        full = F.col("weight") * scale > 1
+        capped, rest, total = c.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0).cast("double")), F.sum(F.when(full, 0.0).otherwise(F.col("raked"))), F.max("total")).first()
+        new = (share * total - capped) / rest if rest else None
+        if new is None or new <= scale:
+            break
+        scale = new
+    # Where all cells with tokens are capped, everything is kept.
+    return c.withColumn("probability", F.lit(1.0) if new is None else F.least(F.lit(1.0), F.lit(scale) * F.col("weight")))
 
 
 def drawn(id_: Column) -> Column:
@@ -97,30 +137,41 @@ def drawn(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def _calibrated_cells(rows: DataFrame, targets: DataFrame | None, share: float) -> tuple[DataFrame, Callable[[list[Column]], Column]]:
-    """Weight and probability of each cell, and how rows with margins find theirs."""
+def _calibrated_cells(rows: DataFrame, targets: DataFrame | None, share: float, prefix: str) -> tuple[DataFrame, Callable[[list[Column]], Column]]:
+    """Weight and probability of each cell under prefixed names, and how rows with margins find theirs."""
     cells = runtime.checkpoint(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     done = calibrated(raked(cells, targets if targets is not None else tempered(cells, MARGINS), MARGINS), share)
-    done = runtime.checkpoint(done.select(*[F.col(m).alias(f"_cell_{m}") for m in MARGINS], F.col("weight").alias("_cell_weight"), F.col("probability").alias("_cell_probability")))
-    return runtime.small(done), lambda columns: reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_cell_{m}")) for m, c in zip(MARGINS, columns, strict=True)])
+    done = runtime.checkpoint(done.select(*[F.col(c).alias(f"{prefix}{c}") for c in [*MARGINS, "weight", "probability"]]))
+    return runtime.small(done), lambda columns: reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"{prefix}{m}")) for m, c in zip(MARGINS, columns, strict=True)])
+
+
+def _unused(columns: list[str]) -> str:
+    prefix = "_cell_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
 
 
-def mixed(docs: DataFrame, targets: DataFrame | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def mixed(docs: DataFrame, targets: DataFrame | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+          topic_of: Column | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, probability, kept`` of every row.
 
-    Without ``targets`` (margin, value, share) observed shares are tempered.  A null
-    source or language is a value.  Null texts have no tokens.  Rows with the same id get
-    the same draw.  Other columns are ignored.
+    Without ``targets`` (margin, value, share) observed shares are tempered.  Topics come
+    from ``topic_of``, a column of the table or an expression; without it from what a text
+    contains.  A null source, language or topic is a value.  Null texts have no tokens.  Rows
+    with the same id get the same draw.  Other columns are ignored.
     """
-    rows = _rows(docs, id_col, text_col, source_col, lang_col)
-    cells, same = _calibrated_cells(rows, targets, share)
+    rows = _rows(docs, id_col, text_col, source_col, lang_col, topic_of)
+    cells, same = _calibrated_cells(rows, targets, share, "_cell_")
     out = rows.join(cells, same([F.col(m) for m in MARGINS]), "left")
     return out.select("doc_id", *MARGINS, "n_tokens", F.round("_cell_weight", 6).alias("weight"), F.round("_cell_probability", 6).alias("probability"),
                       (drawn(F.col("doc_id")) < F.col("_cell_probability")).alias("kept"))
 
 
-def sampled(docs: DataFrame, targets: DataFrame | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def sampled(docs: DataFrame, targets: DataFrame | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+            topic_of: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that ``mixed`` keeps, with all their columns."""
-    cells, same = _calibrated_cells(_rows(docs, id_col, text_col, source_col, lang_col), targets, share)
-    margins = [F.col(source_col).cast("string"), F.col(lang_col).cast("string"), topic(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
-    return docs.join(cells, same(margins), "left").filter(drawn(F.col(id_col).cast("bigint")) < F.col("_cell_probability")).select(*[docs[c] for c in docs.columns])
+    prefix = _unused(docs.columns)
+    cells, same = _calibrated_cells(_rows(docs, id_col, text_col, source_col, lang_col, topic_of), targets, share, prefix)
+    margins = [F.col(source_col).cast("string"), F.col(lang_col).cast("string"), _topic(text_col, topic_of)]
+    return docs.join(cells, same(margins), "left").filter(drawn(F.col(id_col).cast("bigint")) < F.col(f"{prefix}probability")).select(*[docs[c] for c in docs.columns])

@@ -1,8 +1,10 @@
 """Query op3: documents with format-preserving pseudonyms."""
 
+import secrets
+
 from obsflow.llm import pii, query
 
-# Set this to a secret of the corpus; the default only makes results repeatable.
+# Set this to a secret of the corpus, so that its values have the same pseudonyms in every session.
 KEY = "spark.obsflow.pseudonym.key"
 
 # "true": 05/12/2024 is the 5th of December.
@@ -10,7 +12,10 @@ DAY_FIRST = "spark.obsflow.pseudonym.dayfirst"
 
 
 def key(spark) -> str:
-    return spark.conf.get(KEY, "change-me")
+    """The key of the session's setting; where there is none, one is drawn and set, so nobody else can reverse the pseudonyms."""
+    if not spark.conf.get(KEY, ""):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
 
 
 def day_first(spark) -> bool:

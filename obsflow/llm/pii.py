@@ -19,6 +19,7 @@ import ipaddress
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,7 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
 
     def part(r: int, x: int, below: int) -> int:
         data = b"%d:%d:%s" % (r, x, tweak)
-        h = hashlib.blake2b(data, key=key[:64], digest_size=min(64, wide + 8)).digest()
+        h = hashlib.blake2b(data, key=key, digest_size=min(64, wide + 8)).digest()
         return int.from_bytes(h, "big") % below
 
     while True:
@@ -302,11 +303,18 @@ KINDS: dict[str, Callable[[str, bytes], str | None]] = {
 _ANY = re.compile("[0-9@]")
 
 
+@lru_cache(maxsize=16)
+def _whole(key: bytes) -> bytes:
+    """All of a key of any length, as 32 bytes."""
+    return hashlib.blake2b(key, digest_size=32, person=b"obsflow.key").digest()
+
+
 def pseudonymise(text: str, key: bytes, day_first: bool = False) -> tuple[str, list[tuple[str, str]]]:
     """The text with its values replaced, and the pseudonyms as (kind, pseudonym)."""
     found: list[tuple[str, str]] = []
     if not _ANY.search(text):
         return text, found
+    key = _whole(key)
     search = _FOUND["@" in text].search
     out, done, at = [], 0, 0
     while m := search(text, at):

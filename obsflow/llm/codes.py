@@ -304,13 +304,13 @@ def compressed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     to be a multiple of ``parts``, else a ValueError.  Fewer rows than ``entries`` give
     smaller codebooks; no rows or empty vectors give no rows.  Rows with equal ids are
     encoded each for itself; null ids come last among the starting entries.  Null labels
-    are one label; other columns are ignored.
+    are one label; a sum of theirs that does not fit 64 bits is null.  Other columns are ignored.
     """
     kept = kept_vectors(vectors, id_col, vector_col, label_col)
     dim, books = trained(kept, parts, entries, rounds)
     if not dim:
         return kept.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error"), F.lit(0).cast("bigint").alias("label_error"), F.lit("").alias("codebooks_sha256")).limit(0)
     rows = runtime.checkpoint(encoded(kept, dim, books, parts))
-    per = rows.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    per = rows.groupBy(F.col("label").alias("_label")).agg(F.expr("try_cast(sum(cast(error as decimal(38,0))) as bigint)").alias("label_error"))
     return (rows.join(runtime.small(per), F.col("label").eqNullSafe(F.col("_label")), "left")
             .select("vec_id", "label", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256")))

@@ -36,7 +36,7 @@ class Vocabulary:
         return [self.ranks[p.encode("latin-1")] for p in self.merges.merge(piece.decode("latin-1"))]
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
-        """Fill the table `last` of a prefix of ``piece`` up to the whole piece; -1: no token fits."""
+        """The table of last tokens of ``piece``, given that of one of its prefixes; -1: no token fits."""
         return self.merges.extend(piece.decode("latin-1"), last)
 
     def walk(self, last: list[int]) -> list[int] | None:
@@ -63,15 +63,14 @@ class Vocabulary:
         the old ones all later ones do.
         """
         piece = old[:start] + new + old[end:]
-        shift = len(piece) - len(old)
-        table, same = last[:start], 0
-        for at in range(start, len(piece)):
-            self.extend(piece[:at + 1], table)
-            same = same + 1 if at >= start + len(new) and table[at] == last[at - shift] else 0
-            if same >= self.longest:
-                table.extend(last[at + 1 - shift:])
-                break
-        return piece, table
+        shift, size = len(piece) - len(old), self.longest
+        table, first, at = last[:start], start + len(new), start + len(new)
+        while at < len(piece):
+            at = min(len(piece), at + 2 * size)
+            table = self.extend(piece[:at], table)
+            if at - size >= first and table[at - size:] == last[at - size - shift:at - shift]:
+                return piece, table + last[at - shift:]
+        return piece, self.extend(piece, table)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "replace")

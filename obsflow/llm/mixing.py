@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsflow.llm.quality import SPACE
@@ -21,7 +21,7 @@ from obsflow.plans import runtime
 MARGINS = ["source", "lang", "topic"]
 # Largest error of a margin, relative to its target.
 TOLERANCE = 1e-9
-# Rounds between two looks at the margins; a checkpoint follows each round.
+# Rounds between two looks at the margins, and two checkpoints.
 STRIDE = 4
 # What a text contains says its topic; the first that fits.
 TOPICS = [("legal", "License"), ("table", " | "), ("markup", "***"), ("markup", "$$$"), ("contact", "@"), ("secret", "token = ")]
@@ -54,12 +54,6 @@ def tempered(cells: DataFrame, margins: list[str], power: float = TEMPER) -> Dat
     return per.join(per.groupBy("margin").agg(F.sum("s").alias("all")), "margin").select("margin", "value", (F.col("s") / F.col("all")).alias("share"))
 
 
-def _sums(cells: DataFrame, m: str, *sums: Column) -> tuple[DataFrame, Column]:
-    """Sums over the cells of each value of a margin, and how cells find them."""
-    per = cells.groupBy(F.col(m).alias("_value")).agg(*sums)
-    return per, cells[m].eqNullSafe(F.col("_value"))
-
-
 def raked(cells: DataFrame, targets: DataFrame, margins: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margins, tokens) with ``raked`` tokens whose margins have the target shares, and ``margin_error``.
 
@@ -68,26 +62,26 @@ def raked(cells: DataFrame, targets: DataFrame, margins: list[str], tolerance: f
     than ``tolerance`` of it, or, where targets conflict, until ``STRIDE`` rounds bring the
     largest error down by less than a hundredth; ``margin_error`` is that error, the same
     on all cells, and ``margin_report`` says where it is.  There are as many cells as
-    combinations of values that occur, not as documents.
+    combinations of values that occur, not as documents; the cells of one value meet in a
+    task, sums over all of them are totals that the driver holds as numbers.
     """
     total = float(cells.agg(F.sum(F.col("tokens").cast("double"))).first()[0] or 0)
     out = cells.withColumns({"raked": F.col("tokens").cast("double"), "total": F.lit(total)})
     for m in margins:
         t = targets.filter(F.col("margin") == m).select(F.col("value").alias("_value"), F.col("share").alias("_share"))
-        seen, same = _sums(out, m, F.sum("tokens").alias("_seen"))
-        # One share for each value, whatever the number of its cells.
-        each = seen.join(t.withColumnRenamed("_value", "_wanted"), F.col("_value").eqNullSafe(F.col("_wanted")), "left").select("_value", F.coalesce("_share", F.col("_seen") / total if total else F.lit(0.0)).alias("_share"))
+        seen = cells.groupBy(F.col(m).alias("_seen")).agg(F.sum("tokens").alias("_tokens"))
+        each = seen.join(t, F.col("_seen").eqNullSafe(F.col("_value")), "left").select("_seen", F.coalesce("_share", F.col("_tokens") / total if total else F.lit(0.0)).alias("_share"))
+        each = runtime.checkpoint(each)
         every = each.agg(F.sum("_share")).first()[0] or 1.0
-        out = out.join(each, same, "left").drop("_value").withColumn(f"to_{m}", F.col("_share") / every).drop("_share")
-    out = runtime.checkpoint(out)
-    error = None
+        out = out.join(each, out[m].eqNullSafe(F.col("_seen")), "left").drop("_seen").withColumn(f"to_{m}", F.col("_share") / every).drop("_share")
+    out, error = runtime.checkpoint(out), None
     while True:
         for _ in range(STRIDE):
             for m in margins:
-                now, same = _sums(out, m, F.sum("raked").alias("_now"))
-                out = out.join(now, same, "left").drop("_value").withColumn("raked", F.when(F.col("_now") > 0, F.col("raked") * F.col(f"to_{m}") * F.col("total") / F.col("_now")).otherwise(0.0)).drop("_now")
-            out = runtime.checkpoint(out)
-        last, error = error, _largest_error(out, margins)
+                now = F.sum("raked").over(Window.partitionBy(m))
+                out = out.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"to_{m}") * total / now).otherwise(0.0))
+        out = runtime.checkpoint(out)
+        last, error = error, float(_errors(out, margins).agg(F.max("error")).first()[0] or 0.0)
         if error <= tolerance or last is not None and error > 0.99 * last:
             return out.withColumn("margin_error", F.lit(error))
 
@@ -100,10 +94,6 @@ def _errors(out: DataFrame, margins: list[str]) -> DataFrame:
     return per.select("margin", "value", "share", reached.alias("reached"), (F.abs(reached - F.col("share")) / F.when(F.col("share") > 0, F.col("share")).otherwise(1.0)).alias("error"))
 
 
-def _largest_error(out: DataFrame, margins: list[str]) -> float:
-    return float(_errors(out, margins).agg(F.max("error")).first()[0] or 0.0)
-
-
 def margin_report(cells: DataFrame, margins: list[str]) -> DataFrame:
     """``margin, value, share, reached, error`` of raked cells: which targets were met, and how far off the others are.
 

@@ -148,12 +148,11 @@ def _(spark, sf):
     return r.tie_and_sum_check(e, ["l_orderkey"], "l_linenumber", ORD, "l_quantity", "l_returnflag", "l_linestatus", "mk", 40.0)
 
 
-@query("expand_shorthand", """WITH w AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS ws FROM documents),
+@query("expand_shorthand", r"""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \n]+') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS f, unnest(range(len(ws))) AS i, len(ws) AS n FROM w)
 SELECT doc_id, string_agg('E' || f || ':.5:' || CASE WHEN i = 0 THEN 'i' WHEN i = n - 1 THEN 'o' ELSE '' END, ' ' ORDER BY i) AS tokens FROM t GROUP BY doc_id""")
 def _(spark, sf):
-    frets = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
-    return table(spark, sf, "documents").select("doc_id", r.expand_shorthand(F.lit("E"), frets, F.lit("i"), F.lit("o")).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", r.expand_shorthand(F.lit("E"), F.split("text", "[ \n]+"), F.lit("i"), F.lit("o")).alias("tokens"))
 
 
 @query("expand_shorthand_lines", """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),

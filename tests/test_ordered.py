@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from obsflow.plans import ordered as o
-from obsflow.plans import runtime
+from obsflow.plans import ranges, runtime
 from obsflow.plans.chains import resolve_chains
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -137,3 +137,17 @@ def test_broadcast_only_below_the_bound(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     folder = runtime.work_folder(spark)
     assert folder.startswith(spark.sparkContext.getCheckpointDir())
+
+
+def test_intervals_that_meet(spark):
+    rnd = random.Random(6)
+    left = [("ab"[i % 2], i, x := rnd.uniform(-50, 50), x + rnd.choice([0, 0, 1, 5, 60])) for i in range(60)] + [("a", 90, 5.0, 4.0)]
+    right = [("ab"[i % 2], i, x := rnd.uniform(-50, 50), x + rnd.choice([0, 2, 3, 90])) for i in range(60)] + [("a", 91, -1e6, 1e6), ("a", 92, 3.0, 1.0)]
+    a, b = spark.createDataFrame(left, "k string, i int, x double, y double"), spark.createDataFrame(right, "k string, j int, u double, v double")
+    want = sorted((l[0], l[1], r[1]) for l in left for r in right if l[0] == r[0] and l[2] <= r[3] and r[2] <= l[3] and l[2] <= l[3] and r[2] <= r[3])
+    for cell in (0.5, 4.0, 1000.0):
+        pairs = ranges.cell_join(a, b, ["k"], F.col("x"), F.col("y"), F.col("u"), F.col("v"), cell)
+        assert rows(pairs, "k", "i", "j") == want
+    # An interval over everything becomes tens of rows.
+    span = spark.range(1).select(F.lit(0).cast("bigint").alias("f"), F.lit(10**9).cast("bigint").alias("l"))
+    assert ranges._places(span, "_k", "_i", F.col("f"), F.col("l"), F.lit(30), 1).count() < 100

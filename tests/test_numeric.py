@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -159,6 +160,58 @@ def test_difference_tolerates_one_cell(spark):
     assert got["same"] == got["moved"] == 0 and got["gone"] == 1.0 and got["shape"] == 1.0
 
 
+def _grow(a: np.ndarray) -> np.ndarray:
+    p = np.pad(a, 1)
+    h, w = a.shape
+    return np.max([p[y : y + h, x : x + w] for y in range(3) for x in range(3)], axis=0)
+
+
+def _specks(changed: np.ndarray, fine: bool) -> np.ndarray:
+    """Remove specks: cells outside any full 2x2 block, or (fine) in groups of fewer than three."""
+    h, w = changed.shape
+    p = np.pad(changed, 1)
+    if fine:
+        around = sum(p[y : y + h, x : x + w] for y in range(3) for x in range(3)) - changed
+        around = around * changed
+        linked = _grow((around >= 2).astype(changed.dtype))
+        return changed * ((around >= 2) | (linked > 0))
+    block = p[:-1, :-1] & p[1:, :-1] & p[:-1, 1:] & p[1:, 1:]
+    return block[:-1, :-1] | block[1:, :-1] | block[:-1, 1:] | block[1:, 1:]
+
+
+def raster_difference(a, b, w: int, h: int, fine: bool) -> float:
+    """Share of ink that has no counterpart within one cell; the worst inked tile counts alone."""
+    if a is None or b is None or len(a) != w * h or len(b) != w * h:
+        return 1.0
+    a, b = np.asarray(a, np.int32).reshape(h, w), np.asarray(b, np.int32).reshape(h, w)
+    changed = _specks((a & (1 - _grow(b))) | (b & (1 - _grow(a))), fine)
+    score = changed.sum() / max(1, a.sum() + b.sum())
+    wide = 100 if fine else 150
+    for y in range(0, h, 100):
+        for x in range(0, w, wide):
+            ink = a[y : y + 100, x : x + wide].sum() + b[y : y + 100, x : x + wide].sum()
+            if ink >= 100:
+                score = max(score, changed[y : y + 100, x : x + wide].sum() / ink)
+    return float(min(1.0, score * 2) if fine else score)
+
+
+@pytest.mark.parametrize(("w", "h", "fine"), [(8, 8, False), (8, 8, True), (130, 7, False), (130, 7, True), (310, 120, False), (210, 105, True)])
+def test_bit_planes_against_plain_rasters(spark, w, h, fine):
+    rnd = random.Random(w + fine)
+    pairs = []
+    for k in range(6):
+        share = rnd.choice([0.02, 0.1, 0.5])
+        p = [int(rnd.random() < share) for _ in range(w * h)]
+        q = [int(v if rnd.random() < 0.9 else rnd.random() < share) for v in p[1:] + p[:1]]
+        pairs.append((k, p, q))
+    pairs += [(90, None, pairs[0][1]), (91, pairs[0][1][1:], pairs[0][1]), (92, [1] * (w * h), [0] * (w * h))]
+    out = d.tolerant_difference(spark.createDataFrame(pairs, "k int, a array<int>, b array<int>"), "a", "b", w, h, fine)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = dict(rows(out, "k", "diff"))
+    for k, p, q in pairs:
+        assert got[k] == pytest.approx(raster_difference(p, q, w, h, fine), abs=1e-12), k
+
+
 def test_prototypes_in_many_blocks(spark):
     rnd = random.Random(2)
     protos = [(i % 5, [rnd.random() for _ in range(4)]) for i in range(700)]

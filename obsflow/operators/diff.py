@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from obsflow.plans import runtime
 from obsflow.plans.ordered import Ordered, lag, row_number, running_sum
 
-TEMPLATE_BLOCK = 256
+# Templates that others are measured against.
+PIVOTS = 32
 
 
 def ink_bitmap(raster: Column, w: int, h: int, level: int = 150, border: int = 3) -> Column:
@@ -189,32 +190,50 @@ def numbered_identity(a: Column, b: Column, diff: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (a != b), F.lit(1.0)).otherwise(diff)
 
 
-def nearest_prototype(df: DataFrame, row: list[str], vec: str, prototypes: DataFrame, label: str, proto: str, max_err: float = 0.29, margin: float = 0.025) -> DataFrame:
+def _mean_difference(a, b) -> Column:
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
+    return total / F.size(a)
+
+
+def prototype_candidates(df: DataFrame, row: list[str], vec: str, prototypes: DataFrame, label: str, proto: str, margin: float, cell: float) -> DataFrame:
+    """``row, err, label`` for the templates that can be a row's nearest, or within ``margin`` of it.
+
+    Some templates are pivots.  A row's nearest pivot bounds its error; by the triangle
+    inequality a template whose distance from a pivot differs from the row's by more than
+    that bound and ``margin`` is no candidate.  Rows and templates meet on the row's nearest
+    pivot and the cell of the template's distance from it, the other pivots sift the pairs,
+    and only what is left is compared.
+    """
+    t = runtime.checkpoint(prototypes.select(F.col(label).alias("_label"), F.col(proto).cast("array<double>").alias("_t")).filter(F.col("_t").isNotNull()).distinct())
+    chosen = t.orderBy(F.xxhash64("_t"), "_t", "_label").limit(PIVOTS).agg(F.collect_list("_t"))
+    far = lambda v: F.transform("_pivots", lambda p: _mean_difference(F.col(v), p))
+    t = t.withColumn("_pivots", chosen.scalar()).withColumn("_td", far("_t")).drop("_pivots")
+    t = t.select("_label", "_t", "_td", F.posexplode("_td").alias("_p", "_at")).filter(F.col("_at").isNotNull())
+    t = t.withColumn("_cell", F.floor(F.col("_at") / cell)).drop("_at")
+    r = df.select(*row, F.col(vec).cast("array<double>").alias("_v")).withColumn("_pivots", chosen.scalar()).withColumn("_rd", far("_v")).drop("_pivots")
+    r = r.withColumn("_u", F.array_min("_rd")).withColumn("_reach", F.col("_u") + margin + 1e-9)
+    r = r.withColumn("_p", (F.array_position("_rd", F.col("_u")) - 1).cast("int"))
+    r = r.withColumn("_cell", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_u") + F.col("_reach")) / cell).cast("bigint"))))
+    near = F.forall(F.zip_with("_rd", "_td", lambda x, y: F.abs(x - y)), lambda x: x <= F.col("_reach"))
+    return r.join(runtime.small(t), ["_p", "_cell"]).filter(near).select(*row, _mean_difference(F.col("_v"), F.col("_t")).alias("err"), F.col("_label").alias(label))
+
+
+def nearest_prototype(df: DataFrame, row: list[str], vec: str, prototypes: DataFrame, label: str, proto: str, max_err: float = 0.29, margin: float = 0.025, cell: float = 0.02) -> DataFrame:
     """Label of the class with the nearest template, null if far or not clearly best.
 
-    Templates travel in blocks of bounded size, one row per block; the best two classes of
-    each block are merged, so any number of templates works without pairing rows.
+    Exact, though only candidates are compared (``prototype_candidates``).  Rows without a
+    vector, or of another length than the templates, have neither label nor error.
     """
-    prototypes = prototypes.select(label, proto).distinct()
-    n = max(1, -(-prototypes.count() // TEMPLATE_BLOCK))
-    p = prototypes.withColumn("_b", F.pmod(F.xxhash64(proto), F.lit(n)).cast("bigint"))
-    blocks = p.groupBy("_b").agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(proto).alias("p"))).alias("_t"))
-    src = df.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    j = src.join(runtime.small(blocks, 64), "_b")
-    err = lambda q: F.aggregate(F.zip_with(vec, q, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v) / F.size(vec)
-    scored = F.array_sort(F.transform("_t", lambda s: F.struct(err(s["p"]).alias("e"), s["l"].alias("l"))))
-    j = j.withColumn("_s", scored).withColumn("_one", F.col("_s")[0])
-    j = j.withColumn("_two", F.get(F.filter("_s", lambda s: s["l"] != F.col("_one")["l"]), F.lit(0)))
-    if n > 1:
-        both = j.select(*row, F.explode(F.array_compact(F.array("_one", "_two"))).alias("_c"))
-        per = both.groupBy(*row, F.col("_c.l").alias("_l")).agg(F.min("_c.e").alias("_e"))
-        g = per.groupBy(*row).agg(F.min(F.struct("_e", "_l")).alias("_one"))
-        second = per.join(g.select(*row, F.col("_one._l").alias("_l")), [*row, "_l"], "left_anti").groupBy(*row).agg(F.min("_e").alias("_second"))
-        out = g.join(second, row, "left").select(*row, F.col("_one._e").alias("err"), F.col("_one._l").alias("_l"), "_second")
-    else:
-        out = j.select(*row, F.col("_one.e").alias("err"), F.col("_one.l").alias("_l"), F.col("_two.e").alias("_second"))
-    sure = (F.col("err") <= max_err) & (F.col("_second").isNull() | (F.col("_second") - F.col("err") >= margin))
-    return out.select(*row, F.when(sure, F.col("_l")).alias(label), "err")
+    found = prototype_candidates(df, row, vec, prototypes, label, proto, margin, cell)
+    # The best of each class, then the best class and whether another comes within the margin.
+    per = found.groupBy(*row, label).agg(F.min("err").alias("_e"))
+    g = per.groupBy(*row).agg(F.min(F.struct("_e", label)).alias("_one"), F.slice(F.array_sort(F.collect_list("_e")), 1, 2).alias("_two"))
+    second = F.get("_two", F.lit(1))
+    sure = (F.col("_one._e") <= max_err) & (second.isNull() | (second - F.col("_one._e") >= margin))
+    g = g.select(*row, F.when(sure, F.col("_one")[label]).alias(label), F.col("_one._e").alias("err"))
+    every = df.select(*row).distinct()
+    return every.join(g, row, "left").select(*row, label, "err")
+
 
 
 def digit_groups(df: DataFrame, keys, x: str, x2: str, y: str, digit: str, spacing: float, tie: list[str], center: float | None = None) -> DataFrame:

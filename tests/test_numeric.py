@@ -227,6 +227,26 @@ def test_prototypes_in_many_blocks(spark):
         assert got[i][1] == pytest.approx(e1) and got[i][0] == (l1 if e2 - e1 >= 0.01 else None)
 
 
+def test_few_of_many_prototypes_are_compared(spark):
+    rnd = random.Random(7)
+    # Classes around centres, as templates of one class are.
+    centres = [[rnd.random() for _ in range(6)] for _ in range(40)]
+    near = lambda c: [x + rnd.gauss(0, 0.02) for x in c]
+    protos = [(i % 40, near(centres[i % 40])) for i in range(10_000)]
+    data = [(i, near(centres[i % 40])) for i in range(60)] + [(90, None), (91, [0.5] * 3)]
+    pf = spark.createDataFrame(protos, "label int, p array<double>")
+    df = spark.createDataFrame(data, "id int, v array<double>")
+    compared = d.prototype_candidates(df, ["id"], "v", pf, "label", "p", 0.01, 0.02).count()
+    assert compared < 60 * 10_000 / 10
+    got = {r[0]: r[1:] for r in rows(d.nearest_prototype(df, ["id"], "v", pf, "label", "p", margin=0.01), "id", "label", "err")}
+    templates = np.array([p for _, p in protos])
+    for i, v in data[:60]:
+        errors = np.abs(templates - v).mean(axis=1)
+        per = sorted((errors[k::40].min(), k) for k in range(40))
+        assert got[i][1] == pytest.approx(per[0][0]) and got[i][0] == (per[0][1] if per[0][0] <= 0.29 and per[1][0] - per[0][0] >= 0.01 else None)
+    assert got[90] == (None, None) and got[91] == (None, None)
+
+
 def test_numbers_keep_identical_rows_apart(spark):
     df = spark.createDataFrame([(9, 17), (9, 9), (None, 9)], "a int, b int")
     assert [r[0] for r in df.select(d.numbered_identity(F.col("a"), F.col("b"), F.lit(0.0))).collect()] == [1.0, 0.0, 0.0]

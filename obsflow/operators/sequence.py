@@ -93,15 +93,22 @@ def equal_rows(a: Column, b: Column) -> Column:
 
 
 def _longest(prev: Column, cur: Column, same) -> Column:
-    """Largest k whose last k rows of ``prev`` match the first k rows of ``cur``."""
+    """Largest k whose last k rows of ``prev`` match the first k rows of ``cur``.
+
+    Only lengths whose two ends match are compared in full, from the longest on, and none
+    behind the first that matches.
+    """
     most = F.least(F.size(prev), F.size(cur))
 
     def match(k):
         pairs = F.zip_with(F.slice(prev, F.size(prev) - k + 1, k), F.slice(cur, F.lit(1), k), same)
         return F.forall(pairs, lambda x: x)
 
-    ks = F.when(most > 0, F.filter(F.sequence(F.lit(1), most), match)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_max(ks), F.lit(0))
+    def ends(k):
+        return F.coalesce(same(F.element_at(prev, -1), F.get(cur, k - 1)) & same(F.get(prev, F.size(prev) - k), F.get(cur, F.lit(0))), F.lit(False))
+
+    ks = F.when(most > 0, F.filter(F.sequence(most, F.lit(1)), ends)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(F.coalesce(ks, F.array().cast("array<int>")), F.lit(0), lambda best, k: F.when(best > 0, best).when(match(k), k).otherwise(0))
 
 
 class _Trim(Fold):

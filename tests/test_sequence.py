@@ -68,6 +68,24 @@ def test_overlap_takes_the_longest_match(sized):
     assert rows(q.overlap_trim(d, KEY, ["page"], "rows"), "page", "overlap") == [(0, 0), (1, 2), (2, 1), (3, 1)]
 
 
+def test_overlap_of_long_views(spark):
+    n = 10_000
+    names = [f"r{i}" for i in range(n)]
+    # A long overlap, a view that only repeats one row, and one whose ends agree at every length.
+    d = pages(spark, [names, names[4000:] + ["x"] * 4000, ["x"] * n, ["x"] * (n - 1) + ["y"]])
+    assert rows(q.overlap_trim(d, KEY, ["page"], "rows"), "page", "overlap") == [(0, 0), (1, 6000), (2, 4000), (3, n - 1)]
+
+
+def test_overlap_against_the_plain_rule(spark):
+    rnd = random.Random(9)
+    views = [[rnd.choice("ab") for _ in range(rnd.randrange(7))] for _ in range(80)]
+    want = [(0, 0)]
+    for i in range(1, 80):
+        a, b = views[i - 1:i + 1]
+        want.append((i, max((k for k in range(1, min(len(a), len(b)) + 1) if a[-k:] == b[:k]), default=0)))
+    assert rows(q.overlap_trim(pages(spark, views), KEY, ["page"], "rows"), "page", "overlap") == want
+
+
 def test_overlap_blank_marks(sized):
     d = pages(sized, [["a"], ["a"], ["-"], ["a"]])
     out = q.overlap_trim(d, KEY, ["page"], "rows", blank=F.array_contains("rows", "-"))

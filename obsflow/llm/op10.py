@@ -3,7 +3,7 @@
 from obsflow.llm import mixing, query
 
 # Enough for the margins of any of the test tables to be met to more than the digits shown.
-_ROUNDS = 24
+_ROUNDS = 60
 _MARGINS = ["source", "lang", "topic"]
 _TOPIC = "CASE " + " ".join(f"WHEN contains(text, '{s}') THEN '{t}'" for t, s in mixing.TOPICS) + " ELSE 'prose' END"
 

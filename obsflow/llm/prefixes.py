@@ -15,9 +15,9 @@ from collections.abc import Callable
 import ahocorasick
 
 # Bytes (as estimated) that one generation of a cache may hold.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 # Pairs of tokens that are remembered.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 250_000
 _NEVER = 1 << 60
 
 

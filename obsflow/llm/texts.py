@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -22,12 +24,17 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 def worker_state(kind: str) -> dict:
     """A dictionary that lives as long as the Python process, across the tasks it runs.
 
-    Only the last kind that was asked for is kept, so that the stages of a job that share
-    workers do not add up.
+    Only the last kind that was asked for is kept, and what the one before it held goes back
+    to the system, so that the stages of a job that share workers do not add up.
     """
     holder = sys.modules.setdefault("_obsflow_worker_state", types.ModuleType("_obsflow_worker_state")).__dict__
     if holder.get("kind") != kind:
         holder["kind"], holder["state"] = kind, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
     return holder["state"]
 
 
